@@ -57,3 +57,311 @@ def q_velocity_orders(spark, d):
 @query("hour_bucket_running_count")
 def q_hour_bucket(spark, d):
     return vel.hour_bucket_running_count(src.transactions(spark, d))
+
+# ---------------------------------------------------------------- state / joins
+from riskwave.functions import encoding as enc               # noqa: E402
+from riskwave.operators import aggregates as agg             # noqa: E402
+from riskwave.operators import cases                         # noqa: E402
+from riskwave.operators import scores as sc                  # noqa: E402
+from riskwave.operators import service as svc                # noqa: E402
+from riskwave.operators import state as st                   # noqa: E402
+from riskwave.operators import topk                          # noqa: E402
+from riskwave.operators import windows as win                # noqa: E402
+from pyspark.sql import functions as F                       # noqa: E402
+
+
+def _velocity(spark, d):
+    return vel.velocity_features(src.transactions(spark, d))
+
+
+@query("latest_user_state")
+def q_latest_state(spark, d):
+    return st.latest_user_state(_velocity(spark, d))
+
+
+@query("state_lookup")
+def q_state_lookup(spark, d):
+    return st.state_lookup(src.transactions(spark, d), st.latest_user_state(_velocity(spark, d)))
+
+
+@query("asof_state_lookup")
+def q_asof(spark, d):
+    return st.asof_state_lookup(src.transactions(spark, d), _velocity(spark, d))
+
+
+@query("fraud_user_transactions")
+def q_fraud_users_tx(spark, d):
+    return st.fraud_user_transactions(src.transactions(spark, d))
+
+
+@query("clean_users")
+def q_clean_users(spark, d):
+    return st.clean_users(src.transactions(spark, d))
+
+
+@query("stream_log")
+def q_stream_log(spark, d):
+    return st.stream_log(_velocity(spark, d))
+
+
+@query("stream_log_latest")
+def q_stream_log_latest(spark, d):
+    return st.stream_log_latest(st.stream_log(_velocity(spark, d)), 20)
+
+
+@query("progress_checkpoints")
+def q_progress(spark, d):
+    return win.progress_checkpoints(src.transactions(spark, d))
+
+
+# ---------------------------------------------------------------- projections
+@query("fill_missing")
+def q_fill(spark, d):
+    t = fx.engineer_features(src.transactions_nulls(spark, d))
+    return fx.fill_missing(t).select("transaction_id", *fx.FEATURE_COLS)
+
+
+@query("ordinal_encode")
+def q_ordinal(spark, d):
+    t = fx.fill_missing(src.transactions_nulls(spark, d))
+    split = agg.split_value(src.transactions(spark, d))
+    vocab = enc.fit_vocabulary(t.where(F.col("transaction_time") < F.lit(split)))
+    return enc.ordinal_encode(t, vocab).select("transaction_id", *fx.CAT_COLS)
+
+
+@query("serving_features")
+def q_serving(spark, d):
+    t = src.transactions(spark, d)
+    s = st.asof_state_lookup(t, _velocity(spark, d))
+    j = t.select("transaction_id", "total_transactions_user").join(s, "transaction_id")
+    return j.select("transaction_id", "user_id",
+                    F.col("total_transactions_user").alias("given_total_transactions"),
+                    F.when(F.col("velocity_score") > 0, F.col("txn_count_24h"))
+                     .otherwise(F.col("total_transactions_user")).alias("total_transactions_user"),
+                    "velocity_score", "txn_count_24h")
+
+
+@query("velocity_bands")
+def q_bands(spark, d):
+    v = _velocity(spark, d)
+    return v.select("user_id", "transaction_id", "velocity_score",
+                    fx.velocity_band(F.col("velocity_score")).alias("risk_band"),
+                    fx.monitor_band(F.col("velocity_score")).alias("monitor_band"))
+
+
+@query("risk_levels")
+def q_risk_levels(spark, d):
+    s = src.scored(spark, d)
+    return s.select("transaction_id", "probability",
+                    fx.risk_level(F.col("probability")).alias("risk_level"),
+                    fx.decision_label(F.col("prediction")).alias("decision"))
+
+
+@query("serving_payload")
+def q_payload(spark, d):
+    return cases.serving_payload(src.transactions(spark, d))
+
+
+@query("user_transactions")
+def q_user_tx(spark, d):
+    return cases.user_transactions(src.transactions(spark, d))
+
+
+@query("display_rows")
+def q_display(spark, d):
+    return cases.display_rows(src.transactions(spark, d))
+
+
+# ---------------------------------------------------------------- windows
+@query("running_velocity")
+def q_running_velocity(spark, d):
+    return win.running_velocity(src.transactions(spark, d))
+
+
+@query("running_totals")
+def q_running_totals(spark, d):
+    return win.running_totals(src.scored(spark, d))
+
+
+@query("idle_reset_counter")
+def q_idle(spark, d):
+    return win.idle_reset_counter(src.transactions(spark, d))
+
+
+@query("user_sessions")
+def q_sessions(spark, d):
+    return win.user_sessions(src.transactions(spark, d))
+
+
+@query("split_month_position")
+def q_split_month(spark, d):
+    t = src.transactions(spark, d)
+    return win.split_month_position(t, agg.split_value(t))
+
+
+# ---------------------------------------------------------------- aggregates
+@query("kpis")
+def q_kpis(spark, d):
+    return agg.kpis(src.transactions(spark, d))
+
+
+@query("monthly_volume")
+def q_monthly(spark, d):
+    t = src.transactions(spark, d)
+    return agg.monthly_volume(t, agg.split_value(t).strftime("%Y-%m"))
+
+
+@query("monthly_volume_long")
+def q_monthly_long(spark, d):
+    return agg.monthly_volume_long(agg.monthly_volume(src.transactions(spark, d)))
+
+
+@query("hourly_fraud")
+def q_hourly(spark, d):
+    return agg.hourly_fraud(src.transactions(spark, d))
+
+
+@query("top_fraud_categories")
+def q_top_cats(spark, d):
+    return agg.top_fraud_categories(src.transactions(spark, d))
+
+
+@query("user_profiles")
+def q_profiles(spark, d):
+    return agg.user_profiles(src.transactions(spark, d))
+
+
+@query("fraud_users_first_seen")
+def q_first_seen(spark, d):
+    return agg.fraud_users_first_seen(src.transactions(spark, d))
+
+
+@query("dataset_summary")
+def q_summary(spark, d):
+    return agg.dataset_summary(src.transactions(spark, d))
+
+
+@query("split_instant")
+def q_split_instant(spark, d):
+    return agg.split_instant(src.transactions(spark, d))
+
+
+@query("split_summary")
+def q_split_summary(spark, d):
+    t = src.transactions(spark, d)
+    return agg.split_summary(t, agg.split_value(t))
+
+
+@query("class_weight")
+def q_class_weight(spark, d):
+    t = src.transactions(spark, d)
+    return agg.class_weight(t, agg.split_value(t))
+
+
+@query("latency_summary")
+def q_latency_summary(spark, d):
+    return agg.latency_summary(src.requests(spark, d))
+
+
+@query("latency_profile")
+def q_latency_profile(spark, d):
+    return agg.latency_profile(agg.latency_summary(src.requests(spark, d)))
+
+
+@query("throughput")
+def q_throughput(spark, d):
+    return agg.throughput(src.requests(spark, d))
+
+
+@query("score_histogram")
+def q_histogram(spark, d):
+    return agg.score_histogram(src.scored(spark, d))
+
+
+@query("verdict_totals")
+def q_verdicts(spark, d):
+    return agg.verdict_totals(src.scored(spark, d))
+
+
+# ---------------------------------------------------------------- cases
+@query("risk_signals")
+def q_signals(spark, d):
+    return cases.risk_signals(src.transactions(spark, d))
+
+
+@query("decision_accuracy")
+def q_accuracy(spark, d):
+    return cases.decision_accuracy(src.scored(spark, d))
+
+
+@query("live_feed")
+def q_live_feed(spark, d):
+    return cases.live_feed(src.scored(spark, d))
+
+
+# ---------------------------------------------------------------- top-k
+@query("latest_transactions")
+def q_latest_tx(spark, d):
+    return topk.latest_transactions(src.transactions(spark, d))
+
+
+@query("sample_transactions")
+def q_sample(spark, d):
+    return topk.sample_transactions(src.transactions(spark, d))
+
+
+# ---------------------------------------------------------------- score metrics
+@query("confusion_matrix")
+def q_confusion(spark, d):
+    return sc.fraud_class_metrics(sc.confusion_matrix(src.scored(spark, d)))
+
+
+@query("classification_report")
+def q_report(spark, d):
+    return sc.classification_report(src.scored(spark, d))
+
+
+@query("roc_auc")
+def q_auc(spark, d):
+    return sc.roc_auc(src.scored(spark, d))
+
+
+# ---------------------------------------------------------------- service metrics
+@query("request_rate")
+def q_request_rate(spark, d):
+    return svc.request_rate(src.requests(spark, d))
+
+
+@query("latency_buckets")
+def q_buckets(spark, d):
+    return svc.latency_buckets(src.requests(spark, d))
+
+
+@query("bucket_quantiles")
+def q_bucket_quantiles(spark, d):
+    return svc.bucket_quantiles(svc.latency_buckets(src.requests(spark, d)))
+
+
+@query("fraud_share")
+def q_fraud_share(spark, d):
+    return svc.fraud_share(src.requests(spark, d))
+
+
+@query("error_rate")
+def q_error_rate(spark, d):
+    return svc.error_rate(src.requests(spark, d))
+
+
+@query("counter_rate")
+def q_counter_rate(spark, d):
+    return svc.counter_rate(svc.counter_samples(src.requests(spark, d)))
+
+
+@query("last_value")
+def q_last_value(spark, d):
+    return svc.last_value(src.requests(spark, d))
+
+
+@query("inflight")
+def q_inflight(spark, d):
+    return svc.inflight(src.requests(spark, d))

@@ -40,6 +40,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -58,3 +59,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskwave`` importable in Python workers (the code behind
+    ``mapInPandas`` / stateful processors), as ``--py-files`` would."""
+    import shutil
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="riskwave-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "riskwave"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="riskwave")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
