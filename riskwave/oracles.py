@@ -568,3 +568,26 @@ register("inflight", _q(REQUESTS, """ev AS (
 SELECT make_timestamp(at_us) AS at, request_id, delta,
   CAST(SUM(delta) OVER (ORDER BY at_us, delta, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS inflight
 FROM ev"""))
+
+# ------------------------------------------------------------------ streaming
+register("stream_velocity", ORACLES["velocity_features"])
+register("stream_latest_user_state", ORACLES["latest_user_state"])
+register("tumbling_1h", _q(TX, body="""
+SELECT user_id, time_bucket(INTERVAL 1 HOUR, transaction_time) AS window_start,
+  time_bucket(INTERVAL 1 HOUR, transaction_time) + INTERVAL 1 HOUR AS window_end,
+  COUNT(*) AS txn_count, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount_sum
+FROM transactions GROUP BY 1, 2, 3"""))
+register("sliding_24h", _q(TX, body="""
+SELECT user_id, window_start, window_start + INTERVAL 24 HOUR AS window_end,
+  COUNT(*) AS txn_count, CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount_sum
+FROM (SELECT user_id, amount,
+        time_bucket(INTERVAL 1 HOUR, transaction_time) - INTERVAL (k) HOUR AS window_start
+      FROM transactions, range(0, 24) r(k))
+GROUP BY 1, 2, 3"""))
+register("stream_sessions", _q(TX, _RUNS, body="""
+SELECT * FROM (
+  SELECT user_id, MIN(transaction_time) AS session_start,
+    MAX(transaction_time) + INTERVAL 1 HOUR AS session_end, COUNT(*) AS events,
+    CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount_sum
+  FROM runs GROUP BY user_id, run_id)
+WHERE session_end <= (SELECT date_trunc('millisecond', MAX(transaction_time)) FROM transactions)"""))

@@ -15,7 +15,10 @@ and independent of the order of additions.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,10 @@ from pyspark.sql import types as T
 
 from riskwave.plans.broadcast import bounded_broadcast
 
+# Worker-side code travels by value with the plan, so Python workers
+# (including the stateful-processor runner) need not import this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OFFSETS_MAX_ROWS = 200_000
 
 

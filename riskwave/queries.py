@@ -365,3 +365,32 @@ def q_last_value(spark, d):
 @query("inflight")
 def q_inflight(spark, d):
     return svc.inflight(src.requests(spark, d))
+
+
+# ---------------------------------------------------------------- streaming
+from riskwave.streaming import jobs as sjobs                  # noqa: E402
+
+
+@query("stream_velocity")
+def q_stream_velocity(spark, d):
+    return sjobs.stream_velocity_job(src.transactions(spark, d))
+
+
+@query("stream_latest_user_state")
+def q_stream_latest(spark, d):
+    return sjobs.stream_latest_state_job(src.transactions(spark, d))
+
+
+@query("tumbling_1h")
+def q_tumbling(spark, d):
+    return sjobs.tumbling_job(src.transactions(spark, d))
+
+
+@query("sliding_24h")
+def q_sliding(spark, d):
+    return sjobs.sliding_job(src.transactions(spark, d))
+
+
+@query("stream_sessions")
+def q_stream_sessions(spark, d):
+    return sjobs.sessions_job(src.transactions(spark, d))
