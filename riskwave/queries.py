@@ -394,3 +394,91 @@ def q_sliding(spark, d):
 @query("stream_sessions")
 def q_stream_sessions(spark, d):
     return sjobs.sessions_job(src.transactions(spark, d))
+
+
+# ---------------------------------------------------------------- model
+from riskwave.ml import explain as mlx                        # noqa: E402
+from riskwave.ml import model as mlm                          # noqa: E402
+
+
+def _bundle(spark, d):
+    return mlm.bundle_for(spark, d, src.transactions(spark, d))
+
+
+def _contrib(spark, d, scored_df):
+    b = _bundle(spark, d)
+    trees = mlx.tree_tables(spark, b.path, b.gbt)
+    bc = spark.sparkContext.broadcast(trees)
+    return mlx.contributions(scored_df, bc, len(fx.FEATURE_COLS))
+
+
+@query("score_transactions")
+def q_score(spark, d):
+    t = src.transactions(spark, d)
+    return mlm.score(_bundle(spark, d), t).select(*mlm.KEY_COLS, "probability", "prediction")
+
+
+@query("model_evaluation")
+def q_model_eval(spark, d):
+    t = src.transactions(spark, d)
+    b = _bundle(spark, d)
+    test = mlm.score(b, t).where(F.col("transaction_time") >= F.lit(b.meta["split"]).cast("timestamp_ntz"))
+    cm = sc.fraud_class_metrics(sc.confusion_matrix(test))
+    auc = sc.roc_auc(test).first()["auc"]          # one scalar
+    return cm.withColumn("auc", F.lit(auc).cast("double"))
+
+
+@query("serve_transactions")
+def q_serve(spark, d):
+    t = src.transactions(spark, d)
+    b = _bundle(spark, d)
+    state = st.asof_state_lookup(t, _velocity(spark, d))
+    out = b.model.transform(mlm.serving_frame(t, state, b.vocab))
+    from pyspark.ml.functions import vector_to_array
+    prob = vector_to_array(F.col("probability"))[1]
+    return out.select("transaction_id", "user_id", "transaction_time", "amount",
+                      prob.alias("fraud_probability"),
+                      (prob > mlm.THRESHOLD).cast("int").alias("is_fraud_pred"),
+                      fx.risk_level(prob).alias("risk_level"),
+                      "velocity_score", "txn_count_1h", "txn_count_24h")
+
+
+@query("explain_transactions")
+def q_explain(spark, d):
+    t = src.transactions(spark, d)
+    b = _bundle(spark, d)
+    return mlx.top_contributions(_contrib(spark, d, mlm.score(b, t)))
+
+
+@query("feature_importance")
+def q_importance(spark, d):
+    t = src.transactions(spark, d)
+    b = _bundle(spark, d)
+    test = mlm.score(b, t).where(F.col("transaction_time") >= F.lit(b.meta["split"]).cast("timestamp_ntz"))
+    return mlx.feature_importance(_contrib(spark, d, test))
+
+
+@query("importance_bars")
+def q_bars(spark, d):
+    return mlx.importance_bars(q_importance(spark, d))
+
+
+@query("forensic_table")
+def q_forensic(spark, d):
+    t = src.transactions(spark, d)
+    b = _bundle(spark, d)
+    scored_df = mlm.score(b, t)
+    top = mlx.top_contributions(_contrib(spark, d, scored_df), k=1).select(
+        "transaction_id", F.col("top")[0]["feature"].alias("top_contribution"))
+    rows = scored_df.join(t.select("transaction_id", "merchant_category", "channel"),
+                          "transaction_id").join(top, "transaction_id")
+    return rows.select(
+        "user_id", "transaction_id",
+        F.date_format("transaction_time", "yyyy-MM-dd HH:mm:ss").alias("time_text"),
+        F.col("merchant_category").alias("merchant"),
+        F.col("amount").cast("decimal(18,2)").alias("amount_usd"), "channel",
+        F.round(F.col("probability") * 100, 1).alias("fraud_prob_pct"),
+        fx.risk_level(F.col("probability")).alias("risk"),
+        fx.decision_label(F.col("prediction")).alias("decision"),
+        F.when(F.col("is_fraud") == 1, "Fraud").otherwise("Legit").alias("ground_truth"),
+        "top_contribution")
