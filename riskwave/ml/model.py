@@ -130,3 +130,8 @@ def serving_frame(txn: DataFrame, state: DataFrame, vocab: DataFrame) -> DataFra
                       .otherwise(F.col("total_transactions_user")))
     f = feature_frame(t.select(*txn.columns), vocab)
     return f.join(s, "transaction_id")
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Metrics document (a one-row frame: bounded) as JSON."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)

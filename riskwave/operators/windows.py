@@ -46,22 +46,37 @@ def progress_checkpoints(txn: DataFrame, every: int = PROGRESS_EVERY) -> DataFra
              .select(F.col("rn").alias("processed"), *SEQ))
 
 
-def idle_runs(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:
-    """Per user: a new run starts when the previous event is more than
-    ``gap_h`` older (or absent); ``run_id`` numbers the runs and
-    ``counter`` counts events within the run (the expiring counter).
-    Both the lag and the running sums are the distributed prefix
-    helper, so a hot user is not one task."""
-    base = txn.select("user_id", *SEQ, "amount")
-    lagged = keyed_prefix(base, ["user_id"], SEQ, lags=["transaction_time"])
+def idle_flags(txn: DataFrame, gap_h: int = IDLE_GAP_H, bucket_h: int = 24) -> DataFrame:
+    """``new_run`` = 1 when the user's previous event is more than
+    ``gap_h`` older or absent.  Only a predecessor within ``gap_h`` matters,
+    so the lag runs in ``(user, time bucket)`` partitions with each row
+    copied into the next bucket (bucket >= gap): a hot user spreads over
+    its buckets, and a row without a predecessor in its partition has
+    none within the last bucket, hence a gap."""
     gap_us = gap_h * 3_600_000_000
-    new = (F.col("prev_transaction_time").isNull() |
-           (F.unix_micros(F.col("transaction_time").cast("timestamp"))
-            - F.unix_micros(F.col("prev_transaction_time").cast("timestamp")) > gap_us))
-    flagged = lagged.select("user_id", *SEQ, "amount", new.cast("long").alias("new_run"))
-    runs = keyed_prefix(flagged, ["user_id"], SEQ, ["new_run"], rn_col="_rn")
-    runs = runs.select("user_id", *SEQ, "amount", F.col("running_new_run").alias("run_id"))
-    counted = keyed_prefix(runs, ["user_id", "run_id"], SEQ, rn_col="counter")
+    bucket_us = max(bucket_h * 3_600_000_000, gap_us)
+    us = F.unix_micros(F.col("transaction_time").cast("timestamp"))
+    base = (txn.select("user_id", *SEQ, "amount", us.alias("_us"))
+               .withColumn("_home", F.floor(F.col("_us") / F.lit(bucket_us)))
+               .withColumn("_part", F.explode(F.sequence(F.col("_home"), F.col("_home") + 1))))
+    w = Window.partitionBy("user_id", "_part").orderBy("_us", "transaction_id")
+    prev = F.lag("_us").over(w)
+    flagged = base.select("*", prev.alias("_prev")).where(F.col("_part") == F.col("_home"))
+    new = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > gap_us)
+    return flagged.select("user_id", *SEQ, "amount", new.cast("long").alias("new_run"))
+
+
+def run_ids(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:
+    """Run number per user: running sum of the new-run flags (distributed
+    prefix, so a hot user is not one task)."""
+    runs = keyed_prefix(idle_flags(txn, gap_h), ["user_id"], SEQ, ["new_run"], rn_col="_rn")
+    return runs.select("user_id", *SEQ, "amount", F.col("running_new_run").alias("run_id"))
+
+
+def idle_runs(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:
+    """Per user: ``run_id`` numbers the runs and ``counter`` counts events
+    within the run (the counter that expires after an idle hour)."""
+    counted = keyed_prefix(run_ids(txn, gap_h), ["user_id", "run_id"], SEQ, rn_col="counter")
     return counted.select("user_id", *SEQ, "amount", "run_id", "counter")
 
 
@@ -72,7 +87,7 @@ def idle_reset_counter(txn: DataFrame) -> DataFrame:
 def user_sessions(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:
     """Sessions with a ``gap_h`` gap; end = last event + gap, as
     ``session_window`` reports it."""
-    r = idle_runs(txn, gap_h)
+    r = run_ids(txn, gap_h)
     return (r.groupBy("user_id", "run_id")
              .agg(F.min("transaction_time").alias("session_start"),
                   F.max("transaction_time").alias("_last"),

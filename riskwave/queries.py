@@ -482,3 +482,8 @@ def q_forensic(spark, d):
         fx.decision_label(F.col("prediction")).alias("decision"),
         F.when(F.col("is_fraud") == 1, "Fraud").otherwise("Legit").alias("ground_truth"),
         "top_contribution")
+
+
+@query("stream_scores")
+def q_stream_scores(spark, d):
+    return sjobs.stream_scores_job(src.transactions(spark, d), _bundle(spark, d))

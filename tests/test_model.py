@@ -83,3 +83,15 @@ def test_contributions_match_brute_force_and_margin(spark, trained):
         assert np.allclose(np.array(r.contributions), want, atol=1e-9)
         p = 1.0 / (1.0 + math.exp(-(r.base_value + sum(r.contributions))))
         assert abs(p - r.probability) < 1e-9
+
+
+def test_stream_scoring_equals_batch(spark, trained, tmp_path):
+    from riskwave.streaming.jobs import stream_scores_job
+    t, b, feats = trained
+    got = stream_scores_job(t, b).select("transaction_id", "probability", "prediction")
+    want = mlm.score(b, t, feats).select("transaction_id", "probability", "prediction")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    mlm.write_metrics(sc.fraud_class_metrics(sc.confusion_matrix(mlm.score(b, t, feats))),
+                      str(tmp_path / "metrics"))
+    doc = spark.read.json(str(tmp_path / "metrics")).first()
+    assert doc.tn + doc.fp + doc.fn + doc.tp == t.count()

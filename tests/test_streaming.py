@@ -46,3 +46,19 @@ def test_disorder_within_watermark_delay(spark):
     final = want.crossJoin(want.agg(F.max("event_time").alias("max_t"))) \
         .where(F.col("event_time") < cutoff).drop("max_t")
     assert final.exceptAll(got).count() == 0
+
+
+def test_progress_counters_and_csv_scan(spark, tmp_path):
+    from riskwave.sources.tables import read_csv_transactions
+    t = transactions(spark, SF_SMALL)
+    src = sources.replay_transactions(t, "progress", n_files=4)
+    base = src.rsplit("/", 1)[0]
+    s = run.observe_progress(sources.read_stream(spark, src))
+    out, q = run.run_available(s.select("transaction_id"), base, return_query=True)
+    counts = run.processed_counts(q)
+    assert counts[-1] == t.count() and counts == sorted(counts) and len(counts) == 4
+    # CSV form of the scan: declared schema, time text parsed back
+    csv = str(tmp_path / "csv")
+    t.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(csv)
+    back = read_csv_transactions(spark, csv)
+    assert back.exceptAll(t).count() == 0 and t.exceptAll(back).count() == 0
