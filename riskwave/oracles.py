@@ -591,3 +591,9 @@ SELECT * FROM (
     CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount_sum
   FROM runs GROUP BY user_id, run_id)
 WHERE session_end <= (SELECT date_trunc('millisecond', MAX(transaction_time)) FROM transactions)"""))
+register("stream_state_ttl", _q(TX, body="""
+SELECT user_id, arg_max(transaction_time, (transaction_time, transaction_id)) AS last_event_time,
+  arg_max(transaction_id, (transaction_time, transaction_id)) AS last_transaction_id
+FROM transactions GROUP BY user_id
+HAVING epoch_us(MAX(transaction_time)) + 86400000000
+       >= (SELECT epoch_ms(MAX(transaction_time)) * 1000 FROM transactions)"""))

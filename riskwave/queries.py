@@ -487,3 +487,8 @@ def q_forensic(spark, d):
 @query("stream_scores")
 def q_stream_scores(spark, d):
     return sjobs.stream_scores_job(src.transactions(spark, d), _bundle(spark, d))
+
+
+@query("stream_state_ttl")
+def q_stream_state_ttl(spark, d):
+    return sjobs.stream_state_ttl_job(src.transactions(spark, d))
