@@ -25,6 +25,29 @@ BASE_CONF = {
 }
 
 
+# Sizing for a large cluster (~100 TB input, ~1000 executors).  Shuffle
+# partitions start high and AQE coalesces them to ~256 MB; skewed shuffle
+# partitions over 5x the median are split; scans read 512 MB splits.
+# Applied by ``cluster_settings`` only where the submitter left them unset.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def cluster_settings(spark: SparkSession) -> None:
+    for k, v in CLUSTER_CONF.items():
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "riskwave", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session.  ``master`` is only set for local runs;
