@@ -23,6 +23,7 @@ from riskwave.functions import encoding as enc
 from riskwave.functions import features as fx
 from riskwave.operators import aggregates as agg
 from riskwave.plans.lineage import shared_path
+from riskwave.plans.spread import spread
 
 # Hyperparameters of the reference model that Spark's GBT
 # can express (no leaf-count cap in Spark; trees grow level-wise).
@@ -65,6 +66,7 @@ def train(txn: DataFrame, params: dict | None = None, fit_on: str = "train",
                      .withColumn("weight", F.when(F.col("is_fraud") == 1, F.lit(scale))
                                             .otherwise(F.lit(1.0)))
                      .withColumn("label", F.col("is_fraud").cast("double")))
+    train_df = spread(train_df, "transaction_id")     # boosting rounds scan it repeatedly
     if cache:
         train_df = train_df.cache()       # reread every boosting round; recomputable lineage
     assembler = VectorAssembler(inputCols=["f_" + c for c in fx.FEATURE_COLS],
