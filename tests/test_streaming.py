@@ -62,3 +62,10 @@ def test_progress_counters_and_csv_scan(spark, tmp_path):
     t.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(csv)
     back = read_csv_transactions(spark, csv)
     assert back.exceptAll(t).count() == 0 and t.exceptAll(back).count() == 0
+
+
+def test_stream_hot_keys_with_ties(spark):
+    # 7 users, hour-truncated times: large per-key micro-batches, many ties
+    from riskwave.sources import transactions_ties
+    t = transactions_ties(spark, SF_MID)
+    assert _same(stream_velocity_job(t, n_files=4), velocity_features(t))
