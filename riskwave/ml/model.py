@@ -42,11 +42,16 @@ class Bundle:
         return self.model.stages[-1]
 
 
-def feature_frame(txn: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Key columns + the encoded feature columns (all numeric)."""
-    f = fx.fill_missing(fx.engineer_features(txn))
+def feature_frame(txn: DataFrame, vocab: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Key columns + the encoded feature columns (all numeric); ``extra``
+    input columns pass through unencoded (prefixed ``raw_`` when they are
+    also features)."""
+    extra = extra or []
+    raw = [F.col(c).alias("raw_" + c) for c in extra]
+    f = fx.fill_missing(fx.engineer_features(txn.select("*", *raw)))
     f = enc.ordinal_encode(f, vocab)
-    return f.select(*KEY_COLS, *[F.col(c).cast("double").alias("f_" + c) for c in fx.FEATURE_COLS])
+    return f.select(*KEY_COLS, *[F.col("raw_" + c).alias(c) for c in extra],
+                    *[F.col(c).cast("double").alias("f_" + c) for c in fx.FEATURE_COLS])
 
 
 def train(txn: DataFrame, params: dict | None = None, fit_on: str = "train",
@@ -80,12 +85,14 @@ def train(txn: DataFrame, params: dict | None = None, fit_on: str = "train",
     return Bundle(model, vocab, meta), feats
 
 
-def score(bundle: Bundle, txn: DataFrame, feats: DataFrame | None = None) -> DataFrame:
+def score(bundle: Bundle, txn: DataFrame, feats: DataFrame | None = None,
+          extra: list[str] | None = None) -> DataFrame:
     """Probability of fraud and class at the 0.5 threshold for every row."""
-    feats = feats if feats is not None else feature_frame(txn, bundle.vocab)
+    feats = feats if feats is not None else feature_frame(txn, bundle.vocab, extra)
     out = bundle.model.transform(feats)
     prob = vector_to_array(F.col("probability"))[1]
-    return out.select(*KEY_COLS, *[c for c in feats.columns if c.startswith("f_") or c == "side"],
+    return out.select(*KEY_COLS, *(extra or []),
+                      *[c for c in feats.columns if c.startswith("f_") or c == "side"],
                       prob.alias("probability"),
                       (prob > THRESHOLD).cast("int").alias("prediction"))
 
@@ -119,19 +126,18 @@ def bundle_for(spark: SparkSession, sf_dir: str, txn: DataFrame, params: dict |
         return load(spark, path)
 
 
-def serving_frame(txn: DataFrame, state: DataFrame, vocab: DataFrame) -> DataFrame:
+def serving_frame(txn: DataFrame, velocity: DataFrame, vocab: DataFrame) -> DataFrame:
     """Feature frame as the serving path builds it: request fields +
     engineered features + the user's velocity state visible at request
-    time (as-of lookup); ``total_transactions_user`` is replaced by the
-    24 h count when the velocity score is positive (serving-only, as in
-    the reference)."""
-    s = state.select("transaction_id", "velocity_score", "txn_count_1h", "txn_count_24h")
-    t = txn.join(s, "transaction_id")
-    t = t.withColumn("total_transactions_user",
+    time (as-of lookup, request columns carried through it, no join back);
+    ``total_transactions_user`` is replaced by the 24 h count when the
+    velocity score is positive (serving-only, as in the reference)."""
+    from riskwave.operators.state import asof_state_lookup
+    s = asof_state_lookup(txn, velocity, carry=txn.columns)
+    s = s.withColumn("total_transactions_user",
                      F.when(F.col("velocity_score") > 0, F.col("txn_count_24h"))
                       .otherwise(F.col("total_transactions_user")))
-    f = feature_frame(t.select(*txn.columns), vocab)
-    return f.join(s, "transaction_id")
+    return feature_frame(s, vocab, extra=["velocity_score", "txn_count_1h", "txn_count_24h"])
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

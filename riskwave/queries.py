@@ -132,8 +132,7 @@ def q_ordinal(spark, d):
 @query("serving_features")
 def q_serving(spark, d):
     t = src.transactions(spark, d)
-    s = st.asof_state_lookup(t, _velocity(spark, d))
-    j = t.select("transaction_id", "total_transactions_user").join(s, "transaction_id")
+    j = st.asof_state_lookup(t, _velocity(spark, d), carry=["total_transactions_user"])
     return j.select("transaction_id", "user_id",
                     F.col("total_transactions_user").alias("given_total_transactions"),
                     F.when(F.col("velocity_score") > 0, F.col("txn_count_24h"))
@@ -432,8 +431,7 @@ def q_model_eval(spark, d):
 def q_serve(spark, d):
     t = src.transactions(spark, d)
     b = _bundle(spark, d)
-    state = st.asof_state_lookup(t, _velocity(spark, d))
-    out = b.model.transform(mlm.serving_frame(t, state, b.vocab))
+    out = b.model.transform(mlm.serving_frame(t, _velocity(spark, d), b.vocab))
     from pyspark.ml.functions import vector_to_array
     prob = vector_to_array(F.col("probability"))[1]
     return out.select("transaction_id", "user_id", "transaction_time", "amount",
@@ -467,11 +465,13 @@ def q_bars(spark, d):
 def q_forensic(spark, d):
     t = src.transactions(spark, d)
     b = _bundle(spark, d)
-    scored_df = mlm.score(b, t)
-    top = mlx.top_contributions(_contrib(spark, d, scored_df), k=1).select(
-        "transaction_id", F.col("top")[0]["feature"].alias("top_contribution"))
-    rows = scored_df.join(t.select("transaction_id", "merchant_category", "channel"),
-                          "transaction_id").join(top, "transaction_id")
+    scored_df = mlm.score(b, t, extra=["merchant_category", "channel"])
+    shown = ["user_id", "transaction_time", "merchant_category", "channel", "amount",
+             "probability", "prediction", "is_fraud"]
+    trees = mlx.tree_tables(spark, b.path, b.gbt)
+    contrib = mlx.contributions(scored_df, spark.sparkContext.broadcast(trees),
+                                len(fx.FEATURE_COLS), carry=shown)
+    rows = mlx.top_contributions(contrib, k=1, carry=shown)
     return rows.select(
         "user_id", "transaction_id",
         F.date_format("transaction_time", "yyyy-MM-dd HH:mm:ss").alias("time_text"),
@@ -481,14 +481,4 @@ def q_forensic(spark, d):
         fx.risk_level(F.col("probability")).alias("risk"),
         fx.decision_label(F.col("prediction")).alias("decision"),
         F.when(F.col("is_fraud") == 1, "Fraud").otherwise("Legit").alias("ground_truth"),
-        "top_contribution")
-
-
-@query("stream_scores")
-def q_stream_scores(spark, d):
-    return sjobs.stream_scores_job(src.transactions(spark, d), _bundle(spark, d))
-
-
-@query("stream_state_ttl")
-def q_stream_state_ttl(spark, d):
-    return sjobs.stream_state_ttl_job(src.transactions(spark, d))
+        F.col("top")[0]["feature"].alias("top_contribution"))
