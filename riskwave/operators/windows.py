@@ -74,10 +74,14 @@ def run_ids(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:
 
 
 def idle_runs(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:
-    """Per user: ``run_id`` numbers the runs and ``counter`` counts events
-    within the run (the counter that expires after an idle hour)."""
-    counted = keyed_prefix(run_ids(txn, gap_h), ["user_id", "run_id"], SEQ, rn_col="counter")
-    return counted.select("user_id", *SEQ, "amount", "run_id", "counter")
+    """Per user: ``run_id`` numbers the runs (running sum of the flags) and
+    ``counter`` counts events within the run (rows since the latest run
+    start) -- the counter that expires after an idle hour.  One
+    distributed prefix pass gives both."""
+    r = keyed_prefix(idle_flags(txn, gap_h), ["user_id"], SEQ, ["new_run"],
+                     resets=["new_run"], rn_col="_rn")
+    return r.select("user_id", *SEQ, "amount", F.col("running_new_run").alias("run_id"),
+                    F.col("seg_new_run").alias("counter"))
 
 
 def idle_reset_counter(txn: DataFrame) -> DataFrame:

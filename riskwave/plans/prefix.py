@@ -33,7 +33,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 OFFSETS_MAX_ROWS = 200_000
 
 
-def _local_running(keys, sums, lags, rn_col, schema_names):
+def _segments(flag, groups, carry_cf, carry_seg, same):
+    """Rows since the latest flagged row (inclusive) and whether no flag was
+    seen yet in this partition, for one batch; ``same`` marks the leading
+    rows that continue the previous batch's group."""
+    f = flag.to_numpy(dtype=np.int64)
+    cf = (pd.Series(f).groupby(groups, sort=False).cumsum().to_numpy(dtype=np.int64)
+          if groups is not None else np.cumsum(f))
+    cf = cf + np.where(same, carry_cf, 0)
+    seg_groups = ([g.to_numpy() for g in groups] if groups is not None else []) + [cf]
+    seg = pd.Series(np.zeros(len(f))).groupby(seg_groups, sort=False).cumcount().to_numpy() + 1
+    seg = seg + np.where(same & (cf == carry_cf), carry_seg, 0)
+    return seg.astype(np.int64), (cf == 0).astype(np.int64), cf
+
+
+def _local_running(keys, sums, lags, rn_col, schema_names, resets=()):
     def run(batches):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
@@ -48,6 +62,7 @@ def _local_running(keys, sums, lags, rn_col, schema_names):
                 cums = {c: g[c].cumsum().to_numpy(dtype=np.int64) for c in sums}
                 prev = {c: g[c].shift(1) for c in lags}
                 kv = pdf[keys]
+                same = np.zeros(n, dtype=bool)
                 if carry_key is not None:
                     first = kv.iloc[0].tolist()
                     if _same(first, carry_key):
@@ -60,6 +75,10 @@ def _local_running(keys, sums, lags, rn_col, schema_names):
                             cums[c] = cums[c] + np.where(same, carry[c], 0)
                         for c in lags:
                             prev[c].iloc[0] = carry["lag_" + c]
+                groups = [kv[k].reset_index(drop=True) for k in keys]
+                segs = {c: _segments(pdf[c].reset_index(drop=True), groups,
+                                     carry["cf_" + c] if carry else 0,
+                                     carry["seg_" + c] if carry else 0, same) for c in resets}
                 carry_key = kv.iloc[-1].tolist()
             else:
                 rn = np.arange(1, n + 1, dtype=np.int64)
@@ -71,8 +90,14 @@ def _local_running(keys, sums, lags, rn_col, schema_names):
                         cums[c] = cums[c] + carry[c]
                     for c in lags:
                         prev[c].iloc[0] = carry["lag_" + c]
+                same = np.full(n, carry is not None)
+                segs = {c: _segments(pdf[c].reset_index(drop=True), None,
+                                     carry["cf_" + c] if carry else 0,
+                                     carry["seg_" + c] if carry else 0, same) for c in resets}
             carry = {rn_col: int(rn[-1]), **{c: int(cums[c][-1]) for c in sums},
-                     **{"lag_" + c: pdf[c].iloc[-1] for c in lags}}
+                     **{"lag_" + c: pdf[c].iloc[-1] for c in lags},
+                     **{"cf_" + c: int(segs[c][2][-1]) for c in resets},
+                     **{"seg_" + c: int(segs[c][0][-1]) for c in resets}}
             out = pdf.copy()
             out["_pid"] = pid
             out["_lrn"] = rn
@@ -80,6 +105,9 @@ def _local_running(keys, sums, lags, rn_col, schema_names):
                 out["_l_" + c] = cums[c]
             for c in lags:
                 out["_p_" + c] = prev[c]
+            for c in resets:
+                out["_s_" + c] = segs[c][0]
+                out["_lead_" + c] = segs[c][1]
             yield out[schema_names]
     return run
 
@@ -96,38 +124,56 @@ def _same(a, b):
                for x, y in zip(a, b))
 
 
+def _carry_in(c, seq, before):
+    """Run length entering a partition: the tail of the latest earlier
+    partition holding a flag plus all rows of the partitions after it
+    (or all earlier rows when no earlier partition has a flag)."""
+    o_n = F.coalesce(F.sum("_t_n").over(before), F.lit(0))
+    q_cum = F.last(F.when(F.col("_hf_" + c) == 1, F.col("_incl_" + c)), ignorenulls=True).over(before)
+    q_tail = F.last(F.when(F.col("_hf_" + c) == 1, F.col("_tail_" + c)), ignorenulls=True).over(before)
+    return F.when(q_cum.isNull(), o_n).otherwise(q_tail + (o_n - q_cum))
+
+
 def keyed_prefix(df: DataFrame, keys: list[str], order: list[str], sums: list[str] = (),
                  rn_col: str = "rn", n_parts: int | None = None,
-                 lags: list[str] = ()) -> DataFrame:
+                 lags: list[str] = (), resets: list[str] = ()) -> DataFrame:
     """Add ``rn_col`` (1-based position within the key in ``order``),
     ``running_<c>`` for each integral column ``c`` in ``sums`` and
     ``prev_<c>`` (the value on the previous row of the key, null on the
     first) for each column in ``lags``.
     ``order`` must be a total order within a key (end it with an id)."""
     spark = df.sparkSession
-    keys, sums, lags = list(keys), list(sums), list(lags)
+    keys, sums, lags, resets = list(keys), list(sums), list(lags), list(resets)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = (df.repartitionByRange(n, *keys, *order)
            .sortWithinPartitions(*keys, *order))
     fields = list(r.schema.fields) + [
         T.StructField("_pid", T.IntegerType()), T.StructField("_lrn", T.LongType())] + [
         T.StructField("_l_" + c, T.LongType()) for c in sums] + [
-        T.StructField("_p_" + c, r.schema[c].dataType) for c in lags]
+        T.StructField("_p_" + c, r.schema[c].dataType) for c in lags] + [
+        f for c in resets for f in (T.StructField("_s_" + c, T.LongType()),
+                                    T.StructField("_lead_" + c, T.LongType()))]
     schema = T.StructType(fields)
-    local = r.mapInPandas(_local_running(keys, sums, lags, rn_col, [f.name for f in fields]),
-                          schema)
+    local = r.mapInPandas(_local_running(keys, sums, lags, rn_col, [f.name for f in fields],
+                                         resets), schema)
     first = F.min(F.struct(*order)).alias("_first")
     totals = local.groupBy("_pid", *keys).agg(
         first, F.max("_lrn").alias("_t_n"),
         *[F.max_by("_l_" + c, "_lrn").alias("_t_" + c) for c in sums],
-        *[F.max_by(c, "_lrn").alias("_z_" + c) for c in lags])
+        *[F.max_by(c, "_lrn").alias("_z_" + c) for c in lags],
+        *[F.max(F.col(c).cast("long")).alias("_hf_" + c) for c in resets],
+        *[F.max_by("_s_" + c, "_lrn").alias("_tail_" + c) for c in resets])
     seq = Window.partitionBy(*keys).orderBy("_first")
     before = seq.rowsBetween(Window.unboundedPreceding, -1)
+    for c in resets:
+        totals = totals.withColumn(
+            "_incl_" + c, F.sum("_t_n").over(seq.rowsBetween(Window.unboundedPreceding, 0)))
     offsets = totals.select(
         "_pid", *keys,
         F.coalesce(F.sum("_t_n").over(before), F.lit(0)).alias("_o_n"),
         *[F.coalesce(F.sum("_t_" + c).over(before), F.lit(0)).alias("_o_" + c) for c in sums],
-        *[F.lag("_z_" + c).over(seq).alias("_q_" + c) for c in lags])
+        *[F.lag("_z_" + c).over(seq).alias("_q_" + c) for c in lags],
+        *[_carry_in(c, seq, before).alias("_ci_" + c) for c in resets])
     if not keys:
         offsets = F.broadcast(offsets)      # one row per partition: bounded by n
     else:
@@ -138,5 +184,7 @@ def keyed_prefix(df: DataFrame, keys: list[str], order: list[str], sums: list[st
         (F.col("_lrn") + F.col("_o_n")).alias(rn_col)] + [
         (F.col("_l_" + c) + F.col("_o_" + c)).alias("running_" + c) for c in sums] + [
         F.when(F.col("_lrn") == 1, F.col("_q_" + c)).otherwise(F.col("_p_" + c)).alias("prev_" + c)
-        for c in lags]
+        for c in lags] + [
+        (F.col("_s_" + c) + F.when(F.col("_lead_" + c) == 1, F.col("_ci_" + c)).otherwise(0))
+        .alias("seg_" + c) for c in resets]
     return j.select(out_cols)

@@ -24,3 +24,21 @@ def test_keyed_prefix_matches_window(spark, keys, parts):
     pa = a.select(*b.columns).toPandas().sort_values("transaction_id").reset_index(drop=True)
     pb = b.toPandas().sort_values("transaction_id").reset_index(drop=True)
     assert pa.equals(pb)
+
+
+@pytest.mark.parametrize("keys,parts", [(["user_id"], 3), (["user_id"], 23), ([], 7)])
+def test_segmented_counts(spark, keys, parts):
+    """``seg_<flag>``: rows since the latest flagged row, across partitions."""
+    t = transactions_ties(spark, SF_SMALL).withColumn(
+        "flag", ((F.col("transaction_id") % 13 == 0) | (F.col("amount") > 30)).cast("long"))
+    order = ["transaction_time", "transaction_id"]
+    a = keyed_prefix(t, keys, order, ["flag"], n_parts=parts, resets=["flag"])
+    w = Window.partitionBy(*keys).orderBy(*order)
+    runs = t.select("transaction_id", *keys, *order,
+                    F.sum("flag").over(w).alias("run"))
+    w2 = Window.partitionBy(*keys, "run").orderBy(*order)
+    b = runs.select("transaction_id", F.row_number().over(w2).cast("long").alias("seg_flag"),
+                    F.col("run").alias("running_flag"))
+    pa = a.select(*b.columns).toPandas().sort_values("transaction_id").reset_index(drop=True)
+    pb = b.toPandas().sort_values("transaction_id").reset_index(drop=True)
+    assert pa.equals(pb)
