@@ -70,8 +70,8 @@ from riskwave.operators import windows as win                # noqa: E402
 from pyspark.sql import functions as F                       # noqa: E402
 
 
-def _velocity(spark, d):
-    return vel.velocity_features(src.transactions(spark, d))
+def _velocity(spark, d, txn=None):
+    return vel.velocity_features(txn if txn is not None else src.transactions(spark, d))
 
 
 @query("latest_user_state")
@@ -81,12 +81,14 @@ def q_latest_state(spark, d):
 
 @query("state_lookup")
 def q_state_lookup(spark, d):
-    return st.state_lookup(src.transactions(spark, d), st.latest_user_state(_velocity(spark, d)))
+    t = src.transactions(spark, d)
+    return st.state_lookup(t, st.latest_user_state(_velocity(spark, d, t)))
 
 
 @query("asof_state_lookup")
 def q_asof(spark, d):
-    return st.asof_state_lookup(src.transactions(spark, d), _velocity(spark, d))
+    t = src.transactions(spark, d)
+    return st.asof_state_lookup(t, _velocity(spark, d, t))
 
 
 @query("fraud_user_transactions")
@@ -132,7 +134,7 @@ def q_ordinal(spark, d):
 @query("serving_features")
 def q_serving(spark, d):
     t = src.transactions(spark, d)
-    j = st.asof_state_lookup(t, _velocity(spark, d), carry=["total_transactions_user"])
+    j = st.asof_state_lookup(t, _velocity(spark, d, t), carry=["total_transactions_user"])
     return j.select("transaction_id", "user_id",
                     F.col("total_transactions_user").alias("given_total_transactions"),
                     F.when(F.col("velocity_score") > 0, F.col("txn_count_24h"))
@@ -431,7 +433,7 @@ def q_model_eval(spark, d):
 def q_serve(spark, d):
     t = src.transactions(spark, d)
     b = _bundle(spark, d)
-    out = b.model.transform(mlm.serving_frame(t, _velocity(spark, d), b.vocab))
+    out = b.model.transform(mlm.serving_frame(t, _velocity(spark, d, t), b.vocab))
     from pyspark.ml.functions import vector_to_array
     prob = vector_to_array(F.col("probability"))[1]
     return out.select("transaction_id", "user_id", "transaction_time", "amount",
