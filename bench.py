@@ -21,6 +21,14 @@ HEADLINE = ["velocity_features", "engineer_features", "asof_state_lookup", "late
             "stream_velocity", "sliding_24h"]
 
 
+def _sf_number(sf_dir: str):
+    tag = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        return float(tag)
+    except ValueError:
+        return tag
+
+
 def main() -> None:
     # The JVM and Python workers inherit fd 1; send their chatter to stderr
     # so stdout carries exactly one JSON line.
@@ -55,7 +63,7 @@ def main() -> None:
         times["score_and_auc"] = round(time.perf_counter() - t0, 3)
     total = round(sum(times.values()), 3)
     out = {"metric": "headline_queries_total_sec", "value": total, "unit": "sec",
-           "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
+           "queries": times, "sf": _sf_number(sf_dir),
            "rows": n_rows,
            "velocity_rows_per_sec": round(n_rows / times["velocity_features"], 1),
            "stream_velocity_rows_per_sec": round(n_rows / times["stream_velocity"], 1), **extra}
