@@ -6,8 +6,9 @@ key holding a third of the rows spans many partitions), sort within
 partitions, compute partition-local running values with an Arrow-batched
 ``mapInPandas`` (a carry moves across batches of the same partition),
 then add the exclusive prefix of the earlier partitions' totals for the
-same key.  The totals table has one row per (partition, key) present;
-it is broadcast only behind a row-count check.
+same key.  Only the first key of a range partition can continue from
+earlier partitions, so the offsets table has at most one row per
+partition and is broadcast (a bound by construction, not by probing).
 
 Sum inputs must be integral (counts, cents): the result is then exact
 and independent of the order of additions.
@@ -24,13 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskwave.plans.broadcast import bounded_broadcast
 
 # Worker-side code travels by value with the plan, so Python workers
 # (including the stateful-processor runner) need not import this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OFFSETS_MAX_ROWS = 200_000
 
 
 def _segments(flag, groups, carry_cf, carry_seg, same):
@@ -174,17 +173,19 @@ def keyed_prefix(df: DataFrame, keys: list[str], order: list[str], sums: list[st
         *[F.coalesce(F.sum("_t_" + c).over(before), F.lit(0)).alias("_o_" + c) for c in sums],
         *[F.lag("_z_" + c).over(seq).alias("_q_" + c) for c in lags],
         *[_carry_in(c, seq, before).alias("_ci_" + c) for c in resets])
-    if not keys:
-        offsets = F.broadcast(offsets)      # one row per partition: bounded by n
-    else:
-        offsets = bounded_broadcast(offsets, OFFSETS_MAX_ROWS)
-    j = local.join(offsets, ["_pid", *keys], "inner") if keys else \
-        local.join(offsets, ["_pid"], "inner")
+    # Only keys continuing from an earlier partition need an offset.  With
+    # range partitioning on (keys, order) that can only be the first key of
+    # a partition, so the table below has at most one row per partition:
+    # a proven bound, broadcast without probing.
+    offsets = F.broadcast(offsets.where(F.col("_o_n") > 0))
+    j = local.join(offsets, ["_pid", *keys], "left")
+    zero = F.lit(0).cast("long")
     out_cols = [F.col(c) for c in df.columns] + [
-        (F.col("_lrn") + F.col("_o_n")).alias(rn_col)] + [
-        (F.col("_l_" + c) + F.col("_o_" + c)).alias("running_" + c) for c in sums] + [
+        (F.col("_lrn") + F.coalesce(F.col("_o_n"), zero)).alias(rn_col)] + [
+        (F.col("_l_" + c) + F.coalesce(F.col("_o_" + c), zero)).alias("running_" + c)
+        for c in sums] + [
         F.when(F.col("_lrn") == 1, F.col("_q_" + c)).otherwise(F.col("_p_" + c)).alias("prev_" + c)
         for c in lags] + [
-        (F.col("_s_" + c) + F.when(F.col("_lead_" + c) == 1, F.col("_ci_" + c)).otherwise(0))
-        .alias("seg_" + c) for c in resets]
+        (F.col("_s_" + c) + F.when(F.col("_lead_" + c) == 1, F.coalesce(F.col("_ci_" + c), zero))
+         .otherwise(0)).alias("seg_" + c) for c in resets]
     return j.select(out_cols)
