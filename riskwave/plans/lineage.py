@@ -12,8 +12,16 @@ from riskwave.session import ensure_checkpoint_dir
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint.  The input is persisted around the write so the
+    checkpoint does not compute it a second time; a lost cached block is
+    simply recomputed from lineage before the files are written."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=eager)
+    if eager:
+        kept.unpersist()
+    return out
 
 
 def shared_path(spark, name: str) -> str:
