@@ -180,21 +180,6 @@ LATEST_STATE = """latest AS (
   QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_time DESC, transaction_id DESC) = 1)"""
 
 
-def ratio(num: str, den: str, digits: int) -> str:
-    """Half-up rounded exact ratio as DECIMAL(18,digits), 0 when den = 0."""
-    k = 10 ** digits
-    return (f"CAST(CASE WHEN ({den}) = 0 THEN 0 ELSE "
-            f"CAST((2 * {k} * ({num}) + ({den})) // (2 * ({den})) AS DECIMAL(38,0)) "
-            f"* CAST(1 AS DECIMAL(18,{digits})) / {k} END AS DECIMAL(18,{digits}))")
-
-
-def exact_ratio(num: str, den: str, digits: int) -> str:
-    k = 10 ** digits
-    q = f"(2 * {k} * CAST({num} AS HUGEINT) + ({den})) // (2 * CAST({den} AS HUGEINT))"
-    return (f"CAST(CASE WHEN ({den}) = 0 THEN 0 ELSE CAST({q} AS DECIMAL(38,0)) END "
-            f"AS DECIMAL(38,0))")
-
-
 def dec_ratio(num: str, den: str, digits: int) -> str:
     """exact half-up num/den as DECIMAL(18, digits) via integer arithmetic."""
     k = 10 ** digits
