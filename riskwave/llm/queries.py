@@ -8,6 +8,7 @@ operator's own output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskwave.llm.common import prepare, table
 
@@ -23,7 +24,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.bm25_packing import pack_documents
+    prepare(spark)
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 QUERIES = {
+    "op3_bm25_packing": op3_bm25_packing,
     "op9_token_counts": op9_token_counts,
 }
 
