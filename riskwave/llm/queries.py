@@ -24,6 +24,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.quality_rules import judge, train
+    prepare(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return judge(docs, train(docs, labels), ["doc_id"])
+
+
+def op6_zstd_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.zstd_classifier import score, train
+    prepare(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score(docs, train(docs, labels))
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskwave.llm.bm25_packing import pack_documents
     prepare(spark)
@@ -33,6 +47,8 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op6_zstd_classifier": op6_zstd_classifier,
     "op3_bm25_packing": op3_bm25_packing,
     "op9_token_counts": op9_token_counts,
 }
