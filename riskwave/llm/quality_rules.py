@@ -99,8 +99,8 @@ def _buckets(h: np.ndarray) -> np.ndarray:
 
 
 def hashed_grams(texts: list[str]):
-    """For each n-gram family: (bucket of each n-gram, first n-gram of each
-    text).  Texts are joined by line feeds, as many as the longest n-gram
+    """For each n-gram family: (bucket of each n-gram, first and end n-gram
+    of each text).  Texts are joined by line feeds, as many as the longest n-gram
     has bytes, so that no n-gram sees the next text."""
     gap = b"\n" * max(CHAR_GRAMS)
     blobs = [t.encode() + gap for t in texts]
@@ -113,7 +113,7 @@ def hashed_grams(texts: list[str]):
         h = np.zeros(size, np.uint64)
         for i in range(n):
             h = (h << np.uint64(8)) | wide[i:i + size]
-        out.append((_buckets(h * _M), starts))
+        out.append((_buckets(h * _M), starts[:-1], starts[1:] - len(gap)))
     # Words: polynomial hash of each run of non-space bytes, by prefix sums.
     space = (data[:size] == 32) | ((data[:size] >= 9) & (data[:size] <= 13))
     first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
@@ -126,20 +126,20 @@ def hashed_grams(texts: list[str]):
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
     word = sums[last + 1] - sums[first]
     word ^= word >> np.uint64(31)
-    word_starts = np.searchsorted(first, starts)
-    out.append((_buckets(word * _M), word_starts))
+    at = np.searchsorted(first, starts)
+    begin, end = at[:-1], at[1:]
+    out.append((_buckets(word * _M), begin, end))
     following = np.concatenate((word[1:], word[:1]))
-    following[word_starts[1:][np.diff(word_starts) > 0] - 1] = 0      # a text's last word has none
+    following[end[end > begin] - 1] = 0      # a text's last word has none
     pair = word * np.uint64(3) + (following ^ (following << np.uint64(7))) * np.uint64(5)
-    out.append((_buckets(pair * _M), word_starts))
+    out.append((_buckets(pair * _M), begin, end))
     return out
 
 
-def _means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _means(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mean of each text's slice (0 where it is empty)."""
     sums = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
-    n = np.diff(starts)
-    return (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(n, 1)
+    return (sums[end] - sums[begin]) / np.maximum(end - begin, 1)
 
 
 def _sparse_features(batches):
@@ -154,10 +154,10 @@ def _sparse_features(batches):
             at, xs = [], []
             for i in range(len(run)):
                 a, x = [], []
-                for f, (buckets, starts) in enumerate(fams):
-                    own, count = np.unique(buckets[starts[i]:starts[i + 1]], return_counts=True)
+                for f, (buckets, begin, end) in enumerate(fams):
+                    own, count = np.unique(buckets[begin[i]:end[i]], return_counts=True)
                     a.append(own + f * BUCKETS)
-                    x.append(count / max(1, starts[i + 1] - starts[i]) * SCALE)
+                    x.append(count / max(1, end[i] - begin[i]) * SCALE)
                 at.append(np.concatenate(a))
                 xs.append(np.concatenate(x))
             yield emit(schema, {"label": label[off:off + len(run)], "fold": fold[off:off + len(run)],
@@ -176,8 +176,8 @@ class QualityModel:
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         margin = np.full(len(texts), self.bias)
-        for f, (buckets, starts) in enumerate(hashed_grams(texts)):
-            margin += _means(self.weights[f][buckets], starts)
+        for f, (buckets, begin, end) in enumerate(hashed_grams(texts)):
+            margin += _means(self.weights[f][buckets], begin, end)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
 
 
