@@ -38,6 +38,13 @@ def op6_zstd_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, labels))
 
 
+def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.simhash_golay import near_duplicates
+    prepare(spark)
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskwave.llm.bm25_packing import pack_documents
     prepare(spark)
@@ -47,6 +54,7 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash_golay": op2_simhash_golay,
     "op1_quality_rules": op1_quality_rules,
     "op6_zstd_classifier": op6_zstd_classifier,
     "op3_bm25_packing": op3_bm25_packing,
