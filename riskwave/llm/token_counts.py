@@ -86,9 +86,8 @@ def word_pieces(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
                                          "word string, freq long, pretokens array<string>"), "words")
     pieces = (split.select(F.explode("pretokens").alias("pretoken")).distinct()
               .mapInArrow(_count_pieces(tokenizer_path), "pretoken string, pieces long"))
-    per_word = (split.select("word", F.explode("pretokens").alias("pretoken"))
-                .join(pieces, "pretoken").groupBy("word").agg(F.sum("pieces").alias("pieces")))
-    return split.select("word", "freq").join(per_word, "word")
+    return (split.select("word", "freq", F.explode("pretokens").alias("pretoken"))
+            .join(pieces, "pretoken").groupBy("word", "freq").agg(F.sum("pieces").alias("pieces")))
 
 
 def _sum_head(path: str, head):
@@ -133,8 +132,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, i
         "doc-words")
     pairs = per_doc.select("_id", "_th", F.explode("tail").alias("t")).select("_id", "_th", "t.word", "t.freq")
     tail = (pairs.join(words.select("word", "pieces"), "word")
-            .groupBy("_id", "_th", "word").agg(F.max(F.col("freq") * F.col("pieces")).alias("n"))
-            .groupBy("_id", "_th").agg(F.sum("n").alias("tail_tokens")))
+            .groupBy("_id", "_th").agg(F.sum(F.col("freq") * F.col("pieces")).alias("total")))
+    repeats = per_doc.groupBy("_id", "_th").agg(F.count("*").alias("repeats"))   # rows equal in id and text
+    tail = (repeats.alias("r").join(tail.alias("t"), same_key(repeats, tail))
+            .select("r._id", "r._th", F.expr("total div repeats").alias("tail_tokens")))
     out = per_doc.drop("tail").alias("d").join(tail, same_key(per_doc, tail), "left")
     n = F.col("head") + F.coalesce("tail_tokens", F.lit(0))
     return out.select(F.col("d._id").alias(id_col), "n_bytes", n.alias("n_tokens"),
