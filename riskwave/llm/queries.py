@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskwave.llm.common import prepare, table
+from riskwave.llm.line_templates import ORACLE as LINE_TEMPLATES
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -45,6 +46,18 @@ def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.line_templates import drop_recurring_lines
+    out = drop_recurring_lines(table(spark, sf_dir, "documents"), stats=True)
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.pfair_mixing import mix_sources
+    out = mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
+    return out.select("row.doc_id", "row.source", "share", "epoch", "block", "release", "deadline", "slot", "place")
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskwave.llm.bm25_packing import pack_documents
     prepare(spark)
@@ -54,6 +67,8 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_pfair_mixing": op5_pfair_mixing,
+    "op10_line_templates": op10_line_templates,
     "op2_simhash_golay": op2_simhash_golay,
     "op1_quality_rules": op1_quality_rules,
     "op6_zstd_classifier": op6_zstd_classifier,
@@ -61,4 +76,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_line_templates": LINE_TEMPLATES,
+}
