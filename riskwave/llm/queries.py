@@ -58,6 +58,13 @@ def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.source", "share", "epoch", "block", "release", "deadline", "slot", "place")
 
 
+def op4_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.pii_semicrf import digest, tag_documents, train
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return digest(tag_documents(docs, train(docs)))
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskwave.llm.bm25_packing import pack_documents
     prepare(spark)
@@ -67,6 +74,7 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_pii_semicrf": op4_pii_semicrf,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op10_line_templates": op10_line_templates,
     "op2_simhash_golay": op2_simhash_golay,
