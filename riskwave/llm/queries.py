@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskwave.llm.common import prepare, table
+from riskwave.llm.kdtree_topk import ORACLE as KDTREE_TOPK
 from riskwave.llm.line_templates import ORACLE as LINE_TEMPLATES
 
 
@@ -65,6 +66,29 @@ def op4_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(tag_documents(docs, train(docs)))
 
 
+def op7_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.kdtree_topk import top_inner_products
+    prepare(spark)
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+#: A conversation whose texts look like the template's own marks.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from riskwave.llm.chat_format import format_conversations, read_back
+    prepare(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    bpe = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return read_back(format_conversations(rows.unionByName(marks), *bpe), *bpe)
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskwave.llm.bm25_packing import pack_documents
     prepare(spark)
@@ -74,6 +98,8 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_kdtree_topk": op7_kdtree_topk,
+    "op8_chat_format": op8_chat_format,
     "op4_pii_semicrf": op4_pii_semicrf,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op10_line_templates": op10_line_templates,
@@ -85,5 +111,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_kdtree_topk": KDTREE_TOPK,
     "op10_line_templates": LINE_TEMPLATES,
 }
