@@ -255,10 +255,18 @@ def judge(docs: DataFrame, model: QualityModel | None, carry: list[str], text_co
     kept.  ``carry`` may name the text column too."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model) if model is not None else None
-    src = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text"))
+    src = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text"))
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
     out = src.mapInArrow(_judge(shared, None), ddl + "".join(f", {c} long" for c in COLUMNS) + ", quality_prob double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = F.coalesce(F.col("quality_prob") >= min_quality, F.lit(True))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *COLUMNS, "quality_prob",
                       failed.alias("base_failed"), (~failed & good).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, model: QualityModel | None, text_col: str = "text", **rules) -> DataFrame:
+    """The kept documents, with the columns of ``docs``."""
+    names = docs.columns
+    judged = judge(docs.toDF(*[f"in{i}" for i in range(len(names))]), model, [f"in{i}" for i in range(len(names))],
+                   f"in{names.index(text_col)}", **rules)
+    return judged.where("kept").select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(names)])

@@ -81,12 +81,13 @@ def fingerprints(texts: list[str], size: int = SHINGLE, seed: int = SEED) -> np.
 
 
 def _fingerprint_rows(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
             fps = fingerprints([t or "" for t in batch.column("text").to_pylist()], size)
-            yield emit(schema, {"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)})
+            yield emit(schema, {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
+                                "fp": fps.view(np.int64)})
     return run
 
 
@@ -255,14 +256,33 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
                     text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """One row per document: doc_id, fp (signed 64-bit), component_id."""
+    """One row per document: doc_id, text_hash, fp (signed 64-bit),
+    component_id and root (the component's smallest fingerprint)."""
     marked = materialise(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .mapInArrow(_fingerprint_rows(size), "doc_id long, fp long"), "fingerprints")
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
+                    F.col(text_col).alias("text"))
+        .mapInArrow(_fingerprint_rows(size), "doc_id long, text_hash long, fp long"), "fingerprints")
     fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
     roots = connected_components(fingerprint_links(fps, max_bits, tile))
-    grouped = (fps.join(roots, fps.fp == roots.node, "left")
-               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    grouped = _grouped(fps, roots)
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = grouped.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = grouped.join(smallest, "root").select("fp", "component_id", "root")
+    return marked.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def _grouped(fps: DataFrame, roots: DataFrame) -> DataFrame:
+    return (fps.join(roots, fps.fp == roots.node, "left")
+               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents of ``docs`` (all their columns) with one row left of each
+    component: the one of the smallest (doc_id, text hash), null ids last."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    rank = F.struct(F.col("doc_id").isNull().alias("nil"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                    F.col("text_hash").alias("th"))
+    stay = found.groupBy("root").agg(F.min(rank).alias("k")).select("k.nil", "k.id", "k.th")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                      F.col(id_col).isNull().alias("nil"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
+                      F.xxhash64(text_col).alias("th"))
+    return own.join(stay, ["nil", "id", "th"]).dropDuplicates(["nil", "id", "th"]).select("row.*")

@@ -119,6 +119,8 @@ def test_edges(spark):
         else:
             first.setdefault(fp, 10**9)
     comp = brute_components(first)
+    kept = m.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(comp.values()))
     for r in out:
         want = comp[r.fp & (2**64 - 1)]
         assert r.component_id == (None if want == 10**9 else want)
