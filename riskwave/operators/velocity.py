@@ -3,29 +3,28 @@ state function).
 
 Per event, over the events of the same user up to and including it in
 ``(time, id)`` order: count and amount sum over the closed 1 h and 24 h
-frames, the 24 h mean, a weighted velocity score, and a cap that lets
-only the ``cap`` newest events count.
+frames, the 24 h mean and a weighted velocity score.  With a ``cap`` only
+the ``cap`` newest events of the user count.
 
-Plan shape (scale):
-* RANGE frames on the microsecond clock; later ties of the same instant
-  are subtracted, since the keyed function sees rows one at a time.
-* Hot users: rows are partitioned by ``(user, time bucket)`` where the
-  bucket is at least as wide as the longest frame, and each row is
-  copied into the next ``ceil(frame / bucket)`` buckets.  A frame then
-  never leaves its partition, so a user holding a third of the data is
-  spread over as many tasks as it has buckets, at the cost of
-  ``1 + ceil(frame/bucket)`` copies (2 with the default 24 h bucket).
-* All frames share one Exchange on ``(user, bucket)`` and one sort.
+Plan shape (scale): every event and one probe per frame start go through
+one distributed running sum (``plans.prefix``) per user in time order, so
+the value of a frame is the running value at the event minus the running
+value just before the frame.  The work is linear in the events, whatever
+the length of a frame, and a user's events spread over range partitions
+at any instant, so neither a hot user nor a hot user-day is one task.
+The three rows of an event meet again by ``(user, time, id)``.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskwave.plans.prefix import keyed_prefix
+
 MONEY = T.DecimalType(18, 2)
 SCORE = T.DecimalType(18, 4)
 HOUR_US = 3_600_000_000
@@ -45,75 +44,66 @@ def velocity_score(n1: Column, s1: Column, n24: Column) -> Column:
     return F.round(raw, 4).cast(SCORE)
 
 
-def _with_buckets(df: DataFrame, us: Column, longest_us: int, bucket_us: int) -> DataFrame:
-    copies = -(-longest_us // bucket_us)           # ceil(frame / bucket)
-    home = F.floor(us / F.lit(bucket_us))
-    return (df.withColumn("_home", home)
-              .withColumn("_part", F.explode(F.sequence(F.col("_home"),
-                                                       F.col("_home") + copies))))
-
-
 def velocity_features(df: DataFrame, key: str = "user_id", ts: str = "transaction_time",
                       tid: str = "transaction_id", amount: str = "amount",
-                      cap: int | None = DEFAULT_CAP, short_h: int = SHORT_FRAME_H,
-                      long_h: int = LONG_FRAME_H, bucket_h: int | None = 24) -> DataFrame:
+                      cap: int | None = None, short_h: int = SHORT_FRAME_H,
+                      long_h: int = LONG_FRAME_H) -> DataFrame:
     """One row per input event: user_id, transaction_id, event_time,
     txn_count_1h, txn_count_24h, amount_sum_1h, avg_amount_24h,
-    velocity_score.  ``bucket_h=None`` disables the hot-key split."""
-    short_us, long_us = short_h * HOUR_US, long_h * HOUR_US
-    base = df.select(F.col(key).alias("_k"), F.col(tid).alias("_id"),
-                     F.col(ts).alias("_ts"), F.col(amount).cast(MONEY).alias("_amt"))
+    velocity_score.  ``(time, id)`` identifies an event of a user."""
+    base = df.select(F.col(key).alias("_k"), F.col(tid).alias("_id"), F.col(ts).alias("_ts"),
+                     (F.col(amount).cast(MONEY) * 100).cast("long").alias("_cents"))
     base = base.withColumn("_us", F.unix_micros(F.col("_ts").cast("timestamp")))
-    if bucket_h:
-        bucket_us = max(bucket_h * HOUR_US, long_us)
-        base = _with_buckets(base, F.col("_us"), long_us, bucket_us)
-        parts = ["_k", "_part"]
-    else:
-        parts = ["_k"]
-    by_time = Window.partitionBy(*parts).orderBy("_us")
-    by_seq = Window.partitionBy(*parts).orderBy("_us", "_id")
-    ties = Window.partitionBy(*parts, "_us").orderBy("_id").rowsBetween(1, Window.unboundedFollowing)
-    one = F.lit(1)
-    cols = [
-        F.count(one).over(by_time.rangeBetween(-short_us, 0)).alias("_n1"),
-        F.sum("_amt").over(by_time.rangeBetween(-short_us, 0)).alias("_s1"),
-        F.count(one).over(by_time.rangeBetween(-long_us, 0)).alias("_n24"),
-        F.sum("_amt").over(by_time.rangeBetween(-long_us, 0)).alias("_s24"),
-        F.count(one).over(ties).alias("_nl"),
-        F.coalesce(F.sum("_amt").over(ties), F.lit(0).cast(MONEY)).alias("_sl"),
-    ]
+    # side 0 / 1: probes at the start of the short / long frame; side 2: the
+    # event.  At one instant probes come first: a frame includes its start.
+    rows = base.select("_k", "_id", "_ts", F.inline(F.array(*[
+        F.struct(F.lit(side).alias("_side"), at.alias("_at"), n.cast("long").alias("_one"), c.alias("_c"))
+        for side, at, n, c in (
+            (0, F.col("_us") - short_h * HOUR_US, F.lit(0), F.lit(0).cast("long")),
+            (1, F.col("_us") - long_h * HOUR_US, F.lit(0), F.lit(0).cast("long")),
+            (2, F.col("_us"), F.lit(1), F.col("_cents")))])))
+    rows = rows.withColumn("_probe", (F.col("_side") == 2).cast("int"))
+    run = keyed_prefix(rows, ["_k"], ["_at", "_probe", "_id", "_side"], ["_one", "_c"], rn_col="_rn")
+    at = lambda side, c: F.max(F.when(F.col("_side") == side, F.col("running_" + c)))
+    w = run.groupBy("_k", "_ts", "_id").agg(
+        at(2, "_one").alias("_n"), at(2, "_c").alias("_s"),
+        at(0, "_one").alias("_n0"), at(0, "_c").alias("_s0"),
+        at(1, "_one").alias("_n1"), at(1, "_c").alias("_s1"))
+    n_short, n_long = F.col("_n") - F.col("_n0"), F.col("_n") - F.col("_n1")
+    s_short, s_long = F.col("_s") - F.col("_s0"), F.col("_s") - F.col("_s1")
     if cap:
-        cols.append(F.sum("_amt").over(by_seq.rowsBetween(-(cap - 1), 0)).alias("_scap"))
-    w = base.select("*", *cols)
-    if bucket_h:
-        w = w.where(F.col("_part") == F.col("_home"))
-    n1, n24 = F.col("_n1") - F.col("_nl"), F.col("_n24") - F.col("_nl")
-    s1, s24 = F.col("_s1") - F.col("_sl"), F.col("_s24") - F.col("_sl")
-    if cap:
-        s1 = F.when(n1 <= cap, s1).otherwise(F.col("_scap"))
-        s24 = F.when(n24 <= cap, s24).otherwise(F.col("_scap"))
-        n1, n24 = F.least(n1, F.lit(cap)), F.least(n24, F.lit(cap))
-    w = w.select(F.col("_k").alias(key), F.col("_id").alias(tid),
-                 F.col("_ts").alias("event_time"),
-                 n1.cast("long").alias("txn_count_1h"), n24.cast("long").alias("txn_count_24h"),
-                 s1.cast(MONEY).alias("amount_sum_1h"), s24.alias("_s24c"))
+        # Running sum ``cap`` events earlier, by position within the user.
+        back = run.where(F.col("_side") == 2).select(
+            F.col("_k").alias("_bk"), F.col("running__one").alias("_bn"), F.col("running__c").alias("_bs"))
+        w = w.join(back, F.col("_k").eqNullSafe(F.col("_bk")) & (F.col("_n") - cap == F.col("_bn")), "left")
+        newest = F.col("_s") - F.coalesce(F.col("_bs"), F.lit(0))
+        s_short = F.when(n_short <= cap, s_short).otherwise(newest)
+        s_long = F.when(n_long <= cap, s_long).otherwise(newest)
+        n_short, n_long = F.least(n_short, F.lit(cap)), F.least(n_long, F.lit(cap))
+    money = lambda cents: (cents.cast("decimal(20,0)") / 100).cast(MONEY)
+    w = w.select(F.col("_k").alias(key), F.col("_id").alias(tid), F.col("_ts").alias("event_time"),
+                 n_short.cast("long").alias("txn_count_1h"), n_long.cast("long").alias("txn_count_24h"),
+                 money(s_short).alias("amount_sum_1h"), money(s_long).alias("_s24"))
     return w.select(
         key, tid, "event_time", "txn_count_1h", "txn_count_24h", "amount_sum_1h",
-        F.round(F.col("_s24c") / F.col("txn_count_24h"), 2).cast(MONEY).alias("avg_amount_24h"),
+        F.round(F.col("_s24") / F.col("txn_count_24h"), 2).cast(MONEY).alias("avg_amount_24h"),
         velocity_score(F.col("txn_count_1h"), F.col("amount_sum_1h"),
                        F.col("txn_count_24h")).alias("velocity_score"),
     )
 
 
+def velocity_features_capped(df: DataFrame, cap: int = DEFAULT_CAP, **columns) -> DataFrame:
+    """Velocity features over the ``cap`` newest events of a user."""
+    return velocity_features(df, cap=cap, **columns)
+
+
 def hour_bucket_running_count(df: DataFrame, key: str = "user_id",
                               ts: str = "transaction_time",
                               tid: str = "transaction_id") -> DataFrame:
     """Tumbling-hour count so far: events of the user in the current clock
-    hour up to and including this one.  The (user, hour) partition bounds
-    every task by one user-hour, so hot users split by hour for free."""
+    hour up to and including this one, by the distributed running count
+    (a hot user-hour spreads over range partitions)."""
     hour = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
-    w = (Window.partitionBy(key, "hour_start").orderBy(ts, tid)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    return (df.select(key, tid, ts, hour.alias("hour_start"))
-              .select(key, tid, F.col(ts).alias("event_time"), "hour_start",
-                      F.count(F.lit(1)).over(w).alias("txn_count_hour")))
+    rows = df.select(key, tid, F.col(ts).alias("event_time"), hour.alias("hour_start"))
+    return (keyed_prefix(rows, [key, "hour_start"], ["event_time", tid], rn_col="txn_count_hour")
+            .select(key, tid, "event_time", "hour_start", "txn_count_hour"))

@@ -46,24 +46,16 @@ def progress_checkpoints(txn: DataFrame, every: int = PROGRESS_EVERY) -> DataFra
              .select(F.col("rn").alias("processed"), *SEQ))
 
 
-def idle_flags(txn: DataFrame, gap_h: int = IDLE_GAP_H, bucket_h: int = 24) -> DataFrame:
+def idle_flags(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:
     """``new_run`` = 1 when the user's previous event is more than
-    ``gap_h`` older or absent.  Only a predecessor within ``gap_h`` matters,
-    so the lag runs in ``(user, time bucket)`` partitions with each row
-    copied into the next bucket (bucket >= gap): a hot user spreads over
-    its buckets, and a row without a predecessor in its partition has
-    none within the last bucket, hence a gap."""
+    ``gap_h`` older or absent; the previous event is a distributed lag, so
+    a hot user spreads over range partitions."""
     gap_us = gap_h * 3_600_000_000
-    bucket_us = max(bucket_h * 3_600_000_000, gap_us)
     us = F.unix_micros(F.col("transaction_time").cast("timestamp"))
-    base = (txn.select("user_id", *SEQ, "amount", us.alias("_us"))
-               .withColumn("_home", F.floor(F.col("_us") / F.lit(bucket_us)))
-               .withColumn("_part", F.explode(F.sequence(F.col("_home"), F.col("_home") + 1))))
-    w = Window.partitionBy("user_id", "_part").orderBy("_us", "transaction_id")
-    prev = F.lag("_us").over(w)
-    flagged = base.select("*", prev.alias("_prev")).where(F.col("_part") == F.col("_home"))
-    new = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > gap_us)
-    return flagged.select("user_id", *SEQ, "amount", new.cast("long").alias("new_run"))
+    base = txn.select("user_id", *SEQ, "amount", us.alias("_us"))
+    r = keyed_prefix(base, ["user_id"], SEQ, lags=["_us"], rn_col="_rn")
+    new = F.col("prev__us").isNull() | (F.col("_us") - F.col("prev__us") > gap_us)
+    return r.select("user_id", *SEQ, "amount", new.cast("long").alias("new_run"))
 
 
 def run_ids(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:

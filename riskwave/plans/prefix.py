@@ -2,13 +2,15 @@
 single-partition window and without one task per hot key.
 
 Plan: range-partition on ``(keys..., order...)`` (sampled bounds, so a
-key holding a third of the rows spans many partitions), sort within
-partitions, compute partition-local running values with an Arrow-batched
-``mapInPandas`` (a carry moves across batches of the same partition),
-then add the exclusive prefix of the earlier partitions' totals for the
-same key.  Only the first key of a range partition can continue from
-earlier partitions, so the offsets table has at most one row per
-partition and is broadcast (a bound by construction, not by probing).
+key holding a third of the rows spans many partitions) and write the rows
+with the number of their partition to the shared checkpoint folder.  Both
+branches below read that table, so a row's partition is a stored value
+and not a property of a plan that could differ between two evaluations.
+Running values inside a ``(partition, key)`` group are built-in windows;
+the exclusive prefix of the key's earlier partitions is then added.  Only
+the first key of a range partition can continue from an earlier one, so
+the offsets table has at most one row per partition and is broadcast (a
+bound by construction).
 
 Sum inputs must be integral (counts, cents): the result is then exact
 and independent of the order of additions.
@@ -16,176 +18,69 @@ and independent of the order of additions.
 
 from __future__ import annotations
 
-import sys
+import uuid
 
-import numpy as np
-from pyspark import cloudpickle
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from riskwave.plans.lineage import shared_path
 
-# Worker-side code travels by value with the plan, so Python workers
-# (including the stateful-processor runner) need not import this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-
-
-def _segments(flag, groups, carry_cf, carry_seg, same):
-    """Rows since the latest flagged row (inclusive) and whether no flag was
-    seen yet in this partition, for one batch; ``same`` marks the leading
-    rows that continue the previous batch's group."""
-    f = flag.to_numpy(dtype=np.int64)
-    cf = (pd.Series(f).groupby(groups, sort=False).cumsum().to_numpy(dtype=np.int64)
-          if groups is not None else np.cumsum(f))
-    cf = cf + np.where(same, carry_cf, 0)
-    seg_groups = ([g.to_numpy() for g in groups] if groups is not None else []) + [cf]
-    seg = pd.Series(np.zeros(len(f))).groupby(seg_groups, sort=False).cumcount().to_numpy() + 1
-    seg = seg + np.where(same & (cf == carry_cf), carry_seg, 0)
-    return seg.astype(np.int64), (cf == 0).astype(np.int64), cf
-
-
-def _local_running(keys, sums, lags, rn_col, schema_names, resets=()):
-    def run(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry_key, carry = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            if keys:
-                g = pdf.groupby(keys, sort=False, dropna=False)
-                rn = g.cumcount().to_numpy(dtype=np.int64) + 1
-                cums = {c: g[c].cumsum().to_numpy(dtype=np.int64) for c in sums}
-                prev = {c: g[c].shift(1) for c in lags}
-                kv = pdf[keys]
-                same = np.zeros(n, dtype=bool)
-                if carry_key is not None:
-                    first = kv.iloc[0].tolist()
-                    if _same(first, carry_key):
-                        same = np.ones(n, dtype=bool)
-                        for i, k in enumerate(keys):
-                            col = kv[k].to_numpy()
-                            same &= _eq(col, carry_key[i])
-                        rn = rn + np.where(same, carry[rn_col], 0)
-                        for c in sums:
-                            cums[c] = cums[c] + np.where(same, carry[c], 0)
-                        for c in lags:
-                            prev[c].iloc[0] = carry["lag_" + c]
-                groups = [kv[k].reset_index(drop=True) for k in keys]
-                segs = {c: _segments(pdf[c].reset_index(drop=True), groups,
-                                     carry["cf_" + c] if carry else 0,
-                                     carry["seg_" + c] if carry else 0, same) for c in resets}
-                carry_key = kv.iloc[-1].tolist()
-            else:
-                rn = np.arange(1, n + 1, dtype=np.int64)
-                cums = {c: np.cumsum(pdf[c].to_numpy(dtype=np.int64)) for c in sums}
-                prev = {c: pdf[c].shift(1) for c in lags}
-                if carry is not None:
-                    rn = rn + carry[rn_col]
-                    for c in sums:
-                        cums[c] = cums[c] + carry[c]
-                    for c in lags:
-                        prev[c].iloc[0] = carry["lag_" + c]
-                same = np.full(n, carry is not None)
-                segs = {c: _segments(pdf[c].reset_index(drop=True), None,
-                                     carry["cf_" + c] if carry else 0,
-                                     carry["seg_" + c] if carry else 0, same) for c in resets}
-            carry = {rn_col: int(rn[-1]), **{c: int(cums[c][-1]) for c in sums},
-                     **{"lag_" + c: pdf[c].iloc[-1] for c in lags},
-                     **{"cf_" + c: int(segs[c][2][-1]) for c in resets},
-                     **{"seg_" + c: int(segs[c][0][-1]) for c in resets}}
-            out = pdf.copy()
-            out["_pid"] = pid
-            out["_lrn"] = rn
-            for c in sums:
-                out["_l_" + c] = cums[c]
-            for c in lags:
-                out["_p_" + c] = prev[c]
-            for c in resets:
-                out["_s_" + c] = segs[c][0]
-                out["_lead_" + c] = segs[c][1]
-            yield out[schema_names]
-    return run
-
-
-def _eq(arr, v):
-    if v is None or (isinstance(v, float) and np.isnan(v)):
-        return pd.isna(arr)
-    return arr == v
-
-
-def _same(a, b):
-    return all((x is None and y is None) or x == y or
-               (isinstance(x, float) and isinstance(y, float) and np.isnan(x) and np.isnan(y))
-               for x, y in zip(a, b))
-
-
-def _carry_in(c, seq, before):
-    """Run length entering a partition: the tail of the latest earlier
-    partition holding a flag plus all rows of the partitions after it
-    (or all earlier rows when no earlier partition has a flag)."""
-    o_n = F.coalesce(F.sum("_t_n").over(before), F.lit(0))
-    q_cum = F.last(F.when(F.col("_hf_" + c) == 1, F.col("_incl_" + c)), ignorenulls=True).over(before)
-    q_tail = F.last(F.when(F.col("_hf_" + c) == 1, F.col("_tail_" + c)), ignorenulls=True).over(before)
-    return F.when(q_cum.isNull(), o_n).otherwise(q_tail + (o_n - q_cum))
+def _ranged(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """``df`` with ``_pid``, the stored number of its range partition."""
+    path = shared_path(df.sparkSession, f"prefix/{uuid.uuid4().hex}")
+    df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def keyed_prefix(df: DataFrame, keys: list[str], order: list[str], sums: list[str] = (),
                  rn_col: str = "rn", n_parts: int | None = None,
                  lags: list[str] = (), resets: list[str] = ()) -> DataFrame:
     """Add ``rn_col`` (1-based position within the key in ``order``),
-    ``running_<c>`` for each integral column ``c`` in ``sums`` and
+    ``running_<c>`` for each integral column ``c`` in ``sums``,
     ``prev_<c>`` (the value on the previous row of the key, null on the
-    first) for each column in ``lags``.
+    first) for each column in ``lags`` and ``seg_<c>`` (rows since the
+    latest row of the key with flag ``c`` = 1, itself included, or since
+    the key's start) for each column in ``resets``.
     ``order`` must be a total order within a key (end it with an id)."""
-    spark = df.sparkSession
-    keys, sums, lags, resets = list(keys), list(sums), list(lags), list(resets)
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = (df.repartitionByRange(n, *keys, *order)
-           .sortWithinPartitions(*keys, *order))
-    fields = list(r.schema.fields) + [
-        T.StructField("_pid", T.IntegerType()), T.StructField("_lrn", T.LongType())] + [
-        T.StructField("_l_" + c, T.LongType()) for c in sums] + [
-        T.StructField("_p_" + c, r.schema[c].dataType) for c in lags] + [
-        f for c in resets for f in (T.StructField("_s_" + c, T.LongType()),
-                                    T.StructField("_lead_" + c, T.LongType()))]
-    schema = T.StructType(fields)
-    local = r.mapInPandas(_local_running(keys, sums, lags, rn_col, [f.name for f in fields],
-                                         resets), schema)
-    first = F.min(F.struct(*order)).alias("_first")
+    keys, order = list(keys), list(order)
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _ranged(df, keys, order, n)
+    inside = Window.partitionBy("_pid", *keys).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select(
+        "*", F.row_number().over(inside).cast("long").alias("_rn"),
+        *[F.sum(F.col(c).cast("long")).over(upto).alias("_sum_" + c) for c in sums],
+        *[F.lag(c).over(inside).alias("_lag_" + c) for c in lags])
+    if resets:
+        local = local.select("*", *[F.max(F.when(F.col(c) == 1, F.col("_rn"))).over(upto).alias("_at_" + c)
+                                    for c in resets])
     totals = local.groupBy("_pid", *keys).agg(
-        first, F.max("_lrn").alias("_t_n"),
-        *[F.max_by("_l_" + c, "_lrn").alias("_t_" + c) for c in sums],
-        *[F.max_by(c, "_lrn").alias("_z_" + c) for c in lags],
-        *[F.max(F.col(c).cast("long")).alias("_hf_" + c) for c in resets],
-        *[F.max_by("_s_" + c, "_lrn").alias("_tail_" + c) for c in resets])
-    seq = Window.partitionBy(*keys).orderBy("_first")
-    before = seq.rowsBetween(Window.unboundedPreceding, -1)
-    for c in resets:
-        totals = totals.withColumn(
-            "_incl_" + c, F.sum("_t_n").over(seq.rowsBetween(Window.unboundedPreceding, 0)))
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(F.col(c).cast("long")).alias("_t_" + c) for c in sums],
+        *[F.max_by(F.struct(c), "_rn").alias("_z_" + c) for c in lags],
+        *[F.max("_at_" + c).alias("_f_" + c) for c in resets])
+    by_part = Window.partitionBy(*keys).orderBy("_pid")
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_o_n", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     offsets = totals.select(
-        "_pid", *keys,
-        F.coalesce(F.sum("_t_n").over(before), F.lit(0)).alias("_o_n"),
+        F.col("_pid").alias("_o_pid"), *[F.col(k).alias("_k_" + k) for k in keys], "_o_n",
         *[F.coalesce(F.sum("_t_" + c).over(before), F.lit(0)).alias("_o_" + c) for c in sums],
-        *[F.lag("_z_" + c).over(seq).alias("_q_" + c) for c in lags],
-        *[_carry_in(c, seq, before).alias("_ci_" + c) for c in resets])
-    # Only keys continuing from an earlier partition need an offset.  With
-    # range partitioning on (keys, order) that can only be the first key of
-    # a partition, so the table below has at most one row per partition:
-    # a proven bound, broadcast without probing.
+        *[F.lag("_z_" + c).over(by_part).getField(c).alias("_q_" + c) for c in lags],
+        # position (within the key) of the latest flagged row of earlier partitions
+        *[F.coalesce(F.max(F.col("_o_n") + F.col("_f_" + c)).over(before), F.lit(1)).alias("_g_" + c)
+          for c in resets])
     offsets = F.broadcast(offsets.where(F.col("_o_n") > 0))
-    j = local.join(offsets, ["_pid", *keys], "left")
-    zero = F.lit(0).cast("long")
-    out_cols = [F.col(c) for c in df.columns] + [
-        (F.col("_lrn") + F.coalesce(F.col("_o_n"), zero)).alias(rn_col)] + [
-        (F.col("_l_" + c) + F.coalesce(F.col("_o_" + c), zero)).alias("running_" + c)
-        for c in sums] + [
-        F.when(F.col("_lrn") == 1, F.col("_q_" + c)).otherwise(F.col("_p_" + c)).alias("prev_" + c)
-        for c in lags] + [
-        (F.col("_s_" + c) + F.when(F.col("_lead_" + c) == 1, F.coalesce(F.col("_ci_" + c), zero))
-         .otherwise(0)).alias("seg_" + c) for c in resets]
-    return j.select(out_cols)
+    same = F.col("_pid") == F.col("_o_pid")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_k_" + k))
+    j = local.join(offsets, same, "left")
+    shift = F.coalesce(F.col("_o_n"), F.lit(0))
+    rn = F.col("_rn") + shift
+    out = [F.col(c) for c in df.columns] + [rn.alias(rn_col)]
+    out += [(F.col("_sum_" + c) + F.coalesce(F.col("_o_" + c), F.lit(0))).alias("running_" + c) for c in sums]
+    out += [F.when(F.col("_rn") == 1, F.col("_q_" + c)).otherwise(F.col("_lag_" + c)).alias("prev_" + c)
+            for c in lags]
+    out += [(rn - F.coalesce(F.col("_at_" + c) + shift, F.col("_g_" + c), F.lit(1)) + 1).alias("seg_" + c)
+            for c in resets]
+    return j.select(*out)

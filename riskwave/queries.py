@@ -41,7 +41,7 @@ def q_velocity(spark, d):
 
 @query("velocity_features_capped")
 def q_velocity_capped(spark, d):
-    return vel.velocity_features(src.transactions(spark, d), cap=5)
+    return vel.velocity_features_capped(src.transactions(spark, d))
 
 
 @query("velocity_features_ties")

@@ -5,14 +5,36 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from riskwave.oracle_check import compare
+from riskwave.oracles import ORACLES
 from riskwave.plans.prefix import keyed_prefix
+from riskwave.queries import QUERIES
 from riskwave.sources import transactions_ties
 from tests.conftest import SF_SMALL
 
 
+@pytest.fixture(params=[("true", "true"), ("false", "true"), ("false", "false")], ids=["default", "no-reuse", "no-aqe"])
+def planner(spark, request):
+    """Exchange reuse and adaptive execution must not change any result."""
+    names = ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")
+    old = [spark.conf.get(k) for k in names]
+    for k, v in zip(names, request.param):
+        spark.conf.set(k, v)
+    yield
+    for k, v in zip(names, old):
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["running_totals", "idle_reset_counter", "user_sessions", "split_instant",
+                                  "latency_summary", "inflight", "roc_auc", "counter_rate"])
+def test_queries_do_not_depend_on_exchange_reuse(spark, duck_small, planner, name):
+    r = compare(spark, SF_SMALL, name, QUERIES[name], ORACLES[name], duck_small)
+    assert r.get("match"), r
+
+
 @pytest.mark.parametrize("keys,parts", [(["user_id"], 3), (["user_id"], 37), ([], 5),
                                         (["user_id", "channel"], 11)])
-def test_keyed_prefix_matches_window(spark, keys, parts):
+def test_keyed_prefix_matches_window(spark, planner, keys, parts):
     t = transactions_ties(spark, SF_SMALL).withColumn(
         "cents", (F.col("amount").cast("decimal(18,2)") * 100).cast("long"))
     order = ["transaction_time", "transaction_id"]
@@ -27,7 +49,7 @@ def test_keyed_prefix_matches_window(spark, keys, parts):
 
 
 @pytest.mark.parametrize("keys,parts", [(["user_id"], 3), (["user_id"], 23), ([], 7)])
-def test_segmented_counts(spark, keys, parts):
+def test_segmented_counts(spark, planner, keys, parts):
     """``seg_<flag>``: rows since the latest flagged row, across partitions."""
     t = transactions_ties(spark, SF_SMALL).withColumn(
         "flag", ((F.col("transaction_id") % 13 == 0) | (F.col("amount") > 30)).cast("long"))

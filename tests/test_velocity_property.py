@@ -18,8 +18,8 @@ streams = st.lists(
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
-@given(streams, st.sampled_from([2, 5, 500]), st.sampled_from([None, 24]))
-def test_random_streams(spark, events, cap, bucket_h):
+@given(streams, st.sampled_from([2, 5, 500]))
+def test_random_streams(spark, events, cap):
     clock = {u: BASE for u in range(4)}
     rows = []
     for i, (u, gap, cents) in enumerate(events):
@@ -31,5 +31,5 @@ def test_random_streams(spark, events, cap, bucket_h):
                    for r in rows], cap)
     got = {r.transaction_id: (r.txn_count_1h, r.txn_count_24h, r.amount_sum_1h,
                               r.avg_amount_24h, r.velocity_score)
-           for r in velocity_features(df, cap=cap, bucket_h=bucket_h).collect()}
+           for r in velocity_features(df, cap=cap).collect()}
     assert got == want

@@ -44,9 +44,17 @@ def test_replay_equals_frames(spark, fixture, cap):
     assert got == want
 
 
-def test_hot_key_split_equals_plain_partitioning(spark):
-    t = transactions_ties(spark, SF_MID)
-    a = velocity_features(t, bucket_h=None)
-    for bucket_h in (24, 6):
-        b = velocity_features(t, bucket_h=bucket_h)
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_work_grows_linearly_on_one_hot_day(spark):
+    """All events of one user within one day: rows and running sums are
+    spread over range partitions, and the plan has no range frame."""
+    from pyspark.sql import functions as F
+    n = 20_000
+    t = spark.range(n).select(
+        F.col("id").alias("transaction_id"), F.lit(1).cast("long").alias("user_id"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id") * 4)).cast("timestamp_ntz")
+        .alias("transaction_time"), F.lit(1.25).alias("amount"))
+    v = velocity_features(t)
+    assert "RangeFrame" not in v._jdf.queryExecution().optimizedPlan().toString()
+    got = v.agg(F.sum("txn_count_1h"), F.sum("txn_count_24h"), F.max("txn_count_1h"), F.max("amount_sum_1h")).first()
+    assert tuple(got[:3]) == (sum(min(i + 1, 901) for i in range(n)), sum(min(i + 1, 21601) for i in range(n)), 901)
+    assert got[3] == Decimal("1126.25")
