@@ -9,9 +9,10 @@ with the PipelineModel, the vocabulary table and the frozen metadata."""
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -24,11 +25,17 @@ from riskwave.functions import features as fx
 from riskwave.operators import aggregates as agg
 from riskwave.plans.lineage import shared_path
 from riskwave.plans.spread import spread
+from riskwave.sources.tables import read_table
 
 # Hyperparameters of the reference model that Spark's GBT
 # can express (no leaf-count cap in Spark; trees grow level-wise).
 GBT_PARAMS = dict(maxIter=300, stepSize=0.05, maxDepth=8, subsamplingRate=0.8,
                   featureSubsetStrategy="0.8", seed=42, maxBins=64)
+# How the same trees are grown, not what they are: node ids are kept per row
+# instead of re-walking the trees, one pass serves all nodes of a level, and
+# the kept ids are cut from their lineage now and then.
+GBT_RUN = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=20)
+ROWS_PER_TASK = 250_000   # a boosting round is many short jobs over the same rows
 THRESHOLD = 0.5
 KEY_COLS = ["transaction_id", "user_id", "transaction_time", "amount", "is_fraud"]
 
@@ -71,12 +78,14 @@ def train(txn: DataFrame, params: dict | None = None, fit_on: str = "train",
                      .withColumn("weight", F.when(F.col("is_fraud") == 1, F.lit(scale))
                                             .otherwise(F.lit(1.0)))
                      .withColumn("label", F.col("is_fraud").cast("double")))
-    train_df = spread(train_df, "transaction_id")     # boosting rounds scan it repeatedly
+    rows = cw["negatives"] + cw["positives"]
+    train_df = spread(train_df, "transaction_id", tasks=-(-rows // ROWS_PER_TASK))
     if cache:
         train_df = train_df.cache()       # reread every boosting round; recomputable lineage
     assembler = VectorAssembler(inputCols=["f_" + c for c in fx.FEATURE_COLS],
                                 outputCol="features", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **p)
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
+                        **{**GBT_RUN, **p})
     model = Pipeline(stages=[assembler, gbt]).fit(train_df)
     if cache:
         train_df.unpersist()
@@ -112,18 +121,22 @@ def load(spark: SparkSession, path: str) -> Bundle:
 
 
 def bundle_for(spark: SparkSession, sf_dir: str, txn: DataFrame, params: dict | None = None) -> Bundle:
-    """Train once per (input, parameters) and keep the bundle in the shared
-    checkpoint area; later calls load it."""
+    """Train once per (data, parameters) and keep the bundle in the shared
+    checkpoint area; later calls load it.  The name holds a fingerprint of
+    the training rows, so other data never meets an old model."""
     p = dict(GBT_PARAMS, **(params or {}))
-    tag = "model-" + os.path.basename(sf_dir.rstrip("/")) + "-" + \
-        "-".join(f"{k}{v}" for k, v in sorted(p.items()))
-    path = shared_path(spark, "riskwave-models/" + tag.replace("/", "_").replace(".", "_"))
+    rows = read_table(spark, sf_dir, "events").agg(
+        F.count("*"), F.sum(F.xxhash64("event_id", "user_id", "ts", "value").cast("decimal(38,0)"))).first()
+    tag = hashlib.sha256(repr((sorted(p.items()), tuple(map(str, rows)))).encode()).hexdigest()[:24]
+    path = shared_path(spark, f"riskwave-models/{tag}")
     try:
         return load(spark, path)
-    except Exception:
-        b, _ = train(txn, p)
-        save(b, path)
-        return load(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    b, _ = train(txn, p)
+    save(b, path)
+    return load(spark, path)
 
 
 def serving_frame(txn: DataFrame, velocity: DataFrame, vocab: DataFrame) -> DataFrame:

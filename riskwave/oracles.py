@@ -77,7 +77,7 @@ FEATURES_SELECT = """*,
   CASE WHEN coalesce(country <> bin_country, true) THEN 1 ELSE 0 END AS geo_mismatch"""
 
 
-def velocity_sql(src: str = "transactions", cap: int | None = 500) -> str:
+def velocity_sql(src: str = "transactions", cap: int | None = None) -> str:
     """Exact velocity frames: RANGE frames minus later ties, with the cap."""
     if cap:
         n1 = f"LEAST(n1r - nl, {cap})"
@@ -153,7 +153,7 @@ register("scan_transactions", _q(TX, body="SELECT * FROM transactions"))
 register("engineer_features", _q(TX, body=f"SELECT {FEATURES_SELECT} FROM transactions"))
 register("velocity_features", _q(TX, velocity_sql(), body=f"SELECT {VELOCITY_COLS} FROM velocity"))
 register("velocity_features_capped",
-         _q(TX, velocity_sql(cap=5), body=f"SELECT {VELOCITY_COLS} FROM velocity"))
+         _q(TX, velocity_sql(cap=500), body=f"SELECT {VELOCITY_COLS} FROM velocity"))
 register("velocity_features_ties",
          _q(TX_TIES, velocity_sql(), body=f"SELECT {VELOCITY_COLS} FROM velocity"))
 register("velocity_features_orders",
@@ -176,8 +176,9 @@ STATE_TYPES = {"velocity_score": "DECIMAL(18,4)", "txn_count_1h": "BIGINT",
                "txn_count_24h": "BIGINT", "amount_sum_1h": "DECIMAL(18,2)",
                "avg_amount_24h": "DECIMAL(18,2)"}
 LATEST_STATE = """latest AS (
-  SELECT * FROM velocity
-  QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_time DESC, transaction_id DESC) = 1)"""
+  SELECT * FROM (SELECT * FROM velocity
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_time DESC, transaction_id DESC) = 1)
+  WHERE event_time >= (SELECT MAX(transaction_time) FROM transactions) - INTERVAL 24 HOUR)"""
 
 
 def dec_ratio(num: str, den: str, digits: int) -> str:
@@ -213,6 +214,24 @@ SELECT t.transaction_id, t.user_id, t.transaction_time,
   {', '.join(zero(c, f'CASE WHEN {_fresh} THEN s.{c} END') for c in STATE_COLS)}
 FROM transactions t ASOF LEFT JOIN velocity s
   ON t.user_id = s.user_id AND t.transaction_time > s.event_time"""))
+# Equal times: the state before (time, id) is the user's previous row.
+_PREV = """prev AS (
+  SELECT *, LAG(event_time) OVER w AS p_time, """ + ", ".join(
+    f"LAG({c}) OVER w AS p_{c}" for c in STATE_COLS) + """
+  FROM velocity WINDOW w AS (PARTITION BY user_id ORDER BY event_time, transaction_id))"""
+_pfresh = "p_time IS NOT NULL AND epoch_us(event_time) - epoch_us(p_time) <= 86400000000"
+register("asof_state_lookup_ties", _q(TX_TIES, VEL, _PREV, body=f"""
+SELECT transaction_id, user_id, event_time AS transaction_time,
+  CASE WHEN {_pfresh} THEN p_time END AS state_time,
+  {', '.join(zero(c, f'CASE WHEN {_pfresh} THEN p_{c} END') for c in STATE_COLS)}
+FROM prev"""))
+register("serving_features_ties", _q(TX_TIES, VEL, _PREV, body=f"""
+SELECT t.transaction_id, t.user_id, t.total_transactions_user AS given_total_transactions,
+  CASE WHEN COALESCE(CASE WHEN {_pfresh} THEN p_velocity_score END, 0) > 0
+       THEN CAST(p_txn_count_24h AS BIGINT) ELSE t.total_transactions_user END AS total_transactions_user,
+  {zero('velocity_score', f'CASE WHEN {_pfresh} THEN p_velocity_score END')},
+  {zero('txn_count_24h', f'CASE WHEN {_pfresh} THEN p_txn_count_24h END')}
+FROM transactions t JOIN prev ON t.transaction_id = prev.transaction_id"""))
 register("fraud_user_transactions", _q(TX, body="""
 SELECT * FROM transactions WHERE user_id IN (SELECT user_id FROM transactions WHERE is_fraud = 1)"""))
 register("clean_users", _q(TX, body="""
@@ -570,12 +589,10 @@ FROM (SELECT user_id, amount,
       FROM transactions, range(0, 24) r(k))
 GROUP BY 1, 2, 3"""))
 register("stream_sessions", _q(TX, _RUNS, body="""
-SELECT * FROM (
   SELECT user_id, MIN(transaction_time) AS session_start,
     MAX(transaction_time) + INTERVAL 1 HOUR AS session_end, COUNT(*) AS events,
     CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount_sum
-  FROM runs GROUP BY user_id, run_id)
-WHERE session_end <= (SELECT date_trunc('millisecond', MAX(transaction_time)) FROM transactions)"""))
+  FROM runs GROUP BY user_id, run_id"""))
 register("stream_state_ttl", _q(TX, body="""
 SELECT user_id, arg_max(transaction_time, (transaction_time, transaction_id)) AS last_event_time,
   arg_max(transaction_id, (transaction_time, transaction_id)) AS last_transaction_id

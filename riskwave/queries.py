@@ -36,12 +36,12 @@ def q_engineer(spark, d):
 
 @query("velocity_features")
 def q_velocity(spark, d):
-    return vel.velocity_features(src.transactions(spark, d))
+    return vel.velocity_features(src.transactions_core(spark, d))
 
 
 @query("velocity_features_capped")
 def q_velocity_capped(spark, d):
-    return vel.velocity_features_capped(src.transactions(spark, d))
+    return vel.velocity_features_capped(src.transactions_core(spark, d))
 
 
 @query("velocity_features_ties")
@@ -56,7 +56,7 @@ def q_velocity_orders(spark, d):
 
 @query("hour_bucket_running_count")
 def q_hour_bucket(spark, d):
-    return vel.hour_bucket_running_count(src.transactions(spark, d))
+    return vel.hour_bucket_running_count(src.transactions_core(spark, d))
 
 # ---------------------------------------------------------------- state / joins
 from riskwave.functions import encoding as enc               # noqa: E402
@@ -67,27 +67,35 @@ from riskwave.operators import service as svc                # noqa: E402
 from riskwave.operators import state as st                   # noqa: E402
 from riskwave.operators import topk                          # noqa: E402
 from riskwave.operators import windows as win                # noqa: E402
+from riskwave.plans.lineage import cut_lineage               # noqa: E402
 from pyspark.sql import functions as F                       # noqa: E402
 
 
 def _velocity(spark, d, txn=None):
-    return vel.velocity_features(txn if txn is not None else src.transactions(spark, d))
+    return vel.velocity_features(txn if txn is not None else src.transactions_core(spark, d))
 
 
 @query("latest_user_state")
 def q_latest_state(spark, d):
-    return st.latest_user_state(_velocity(spark, d))
+    t = src.transactions_core(spark, d)
+    return st.latest_user_state(_velocity(spark, d, t), now=st.newest_time(t))
 
 
 @query("state_lookup")
 def q_state_lookup(spark, d):
     t = src.transactions(spark, d)
-    return st.state_lookup(t, st.latest_user_state(_velocity(spark, d, t)))
+    return st.state_lookup(t, st.latest_user_state(_velocity(spark, d, t), now=st.newest_time(t)))
 
 
 @query("asof_state_lookup")
 def q_asof(spark, d):
-    t = src.transactions(spark, d)
+    t = src.transactions_core(spark, d)
+    return st.asof_state_lookup(t, _velocity(spark, d, t))
+
+
+@query("asof_state_lookup_ties")
+def q_asof_ties(spark, d):
+    t = src.transactions_ties(spark, d)
     return st.asof_state_lookup(t, _velocity(spark, d, t))
 
 
@@ -98,7 +106,7 @@ def q_fraud_users_tx(spark, d):
 
 @query("clean_users")
 def q_clean_users(spark, d):
-    return st.clean_users(src.transactions(spark, d))
+    return st.clean_users(src.transactions_core(spark, d))
 
 
 @query("stream_log")
@@ -113,7 +121,7 @@ def q_stream_log_latest(spark, d):
 
 @query("progress_checkpoints")
 def q_progress(spark, d):
-    return win.progress_checkpoints(src.transactions(spark, d))
+    return win.progress_checkpoints(src.transactions_core(spark, d))
 
 
 # ---------------------------------------------------------------- projections
@@ -126,14 +134,22 @@ def q_fill(spark, d):
 @query("ordinal_encode")
 def q_ordinal(spark, d):
     t = fx.fill_missing(src.transactions_nulls(spark, d))
-    split = agg.split_value(src.transactions(spark, d))
+    split = agg.split_value(src.transactions_core(spark, d))
     vocab = enc.fit_vocabulary(t.where(F.col("transaction_time") < F.lit(split)))
     return enc.ordinal_encode(t, vocab).select("transaction_id", *fx.CAT_COLS)
 
 
 @query("serving_features")
 def q_serving(spark, d):
-    t = src.transactions(spark, d)
+    return _serving_features(spark, d, src.transactions(spark, d))
+
+
+@query("serving_features_ties")
+def q_serving_ties(spark, d):
+    return _serving_features(spark, d, src.transactions_ties(spark, d))
+
+
+def _serving_features(spark, d, t):
     j = st.asof_state_lookup(t, _velocity(spark, d, t), carry=["total_transactions_user"])
     return j.select("transaction_id", "user_id",
                     F.col("total_transactions_user").alias("given_total_transactions"),
@@ -165,7 +181,7 @@ def q_payload(spark, d):
 
 @query("user_transactions")
 def q_user_tx(spark, d):
-    return cases.user_transactions(src.transactions(spark, d))
+    return cases.user_transactions(src.transactions_core(spark, d))
 
 
 @query("display_rows")
@@ -176,7 +192,7 @@ def q_display(spark, d):
 # ---------------------------------------------------------------- windows
 @query("running_velocity")
 def q_running_velocity(spark, d):
-    return win.running_velocity(src.transactions(spark, d))
+    return win.running_velocity(src.transactions_core(spark, d))
 
 
 @query("running_totals")
@@ -186,76 +202,76 @@ def q_running_totals(spark, d):
 
 @query("idle_reset_counter")
 def q_idle(spark, d):
-    return win.idle_reset_counter(src.transactions(spark, d))
+    return win.idle_reset_counter(src.transactions_core(spark, d))
 
 
 @query("user_sessions")
 def q_sessions(spark, d):
-    return win.user_sessions(src.transactions(spark, d))
+    return win.user_sessions(src.transactions_core(spark, d))
 
 
 @query("split_month_position")
 def q_split_month(spark, d):
-    t = src.transactions(spark, d)
+    t = src.transactions_core(spark, d)
     return win.split_month_position(t, agg.split_value(t))
 
 
 # ---------------------------------------------------------------- aggregates
 @query("kpis")
 def q_kpis(spark, d):
-    return agg.kpis(src.transactions(spark, d))
+    return agg.kpis(src.transactions_core(spark, d))
 
 
 @query("monthly_volume")
 def q_monthly(spark, d):
-    t = src.transactions(spark, d)
+    t = src.transactions_core(spark, d)
     return agg.monthly_volume(t, agg.split_value(t).strftime("%Y-%m"))
 
 
 @query("monthly_volume_long")
 def q_monthly_long(spark, d):
-    return agg.monthly_volume_long(agg.monthly_volume(src.transactions(spark, d)))
+    return agg.monthly_volume_long(agg.monthly_volume(src.transactions_core(spark, d)))
 
 
 @query("hourly_fraud")
 def q_hourly(spark, d):
-    return agg.hourly_fraud(src.transactions(spark, d))
+    return agg.hourly_fraud(src.transactions_core(spark, d))
 
 
 @query("top_fraud_categories")
 def q_top_cats(spark, d):
-    return agg.top_fraud_categories(src.transactions(spark, d))
+    return agg.top_fraud_categories(src.transactions_core(spark, d))
 
 
 @query("user_profiles")
 def q_profiles(spark, d):
-    return agg.user_profiles(src.transactions(spark, d))
+    return agg.user_profiles(src.transactions_countries(spark, d))
 
 
 @query("fraud_users_first_seen")
 def q_first_seen(spark, d):
-    return agg.fraud_users_first_seen(src.transactions(spark, d))
+    return agg.fraud_users_first_seen(src.transactions_core(spark, d))
 
 
 @query("dataset_summary")
 def q_summary(spark, d):
-    return agg.dataset_summary(src.transactions(spark, d))
+    return agg.dataset_summary(src.transactions_core(spark, d))
 
 
 @query("split_instant")
 def q_split_instant(spark, d):
-    return agg.split_instant(src.transactions(spark, d))
+    return agg.split_instant(src.transactions_core(spark, d))
 
 
 @query("split_summary")
 def q_split_summary(spark, d):
-    t = src.transactions(spark, d)
+    t = src.transactions_core(spark, d)
     return agg.split_summary(t, agg.split_value(t))
 
 
 @query("class_weight")
 def q_class_weight(spark, d):
-    t = src.transactions(spark, d)
+    t = src.transactions_core(spark, d)
     return agg.class_weight(t, agg.split_value(t))
 
 
@@ -287,7 +303,7 @@ def q_verdicts(spark, d):
 # ---------------------------------------------------------------- cases
 @query("risk_signals")
 def q_signals(spark, d):
-    return cases.risk_signals(src.transactions(spark, d))
+    return cases.risk_signals(src.transactions_core(spark, d))
 
 
 @query("decision_accuracy")
@@ -303,12 +319,12 @@ def q_live_feed(spark, d):
 # ---------------------------------------------------------------- top-k
 @query("latest_transactions")
 def q_latest_tx(spark, d):
-    return topk.latest_transactions(src.transactions(spark, d))
+    return topk.latest_transactions(src.transactions_core(spark, d))
 
 
 @query("sample_transactions")
 def q_sample(spark, d):
-    return topk.sample_transactions(src.transactions(spark, d))
+    return topk.sample_transactions(src.transactions_core(spark, d))
 
 
 # ---------------------------------------------------------------- score metrics
@@ -370,31 +386,32 @@ def q_inflight(spark, d):
 
 # ---------------------------------------------------------------- streaming
 from riskwave.streaming import jobs as sjobs                  # noqa: E402
+from riskwave.streaming import sources as ssrc                # noqa: E402
 
 
 @query("stream_velocity")
 def q_stream_velocity(spark, d):
-    return sjobs.stream_velocity_job(src.transactions(spark, d))
+    return sjobs.stream_velocity_job(ssrc.transactions_core_stream(spark, d))
 
 
 @query("stream_latest_user_state")
 def q_stream_latest(spark, d):
-    return sjobs.stream_latest_state_job(src.transactions(spark, d))
+    return sjobs.stream_latest_state_job(ssrc.transactions_core_stream(spark, d))
 
 
 @query("tumbling_1h")
 def q_tumbling(spark, d):
-    return sjobs.tumbling_job(src.transactions(spark, d))
+    return sjobs.tumbling_job(ssrc.transactions_core_stream(spark, d))
 
 
 @query("sliding_24h")
 def q_sliding(spark, d):
-    return sjobs.sliding_job(src.transactions(spark, d))
+    return sjobs.sliding_job(ssrc.transactions_core_stream(spark, d))
 
 
 @query("stream_sessions")
 def q_stream_sessions(spark, d):
-    return sjobs.sessions_job(src.transactions(spark, d))
+    return sjobs.sessions_job(ssrc.transactions_core_stream(spark, d))
 
 
 # ---------------------------------------------------------------- model
@@ -424,8 +441,10 @@ def q_model_eval(spark, d):
     t = src.transactions(spark, d)
     b = _bundle(spark, d)
     test = mlm.score(b, t).where(F.col("transaction_time") >= F.lit(b.meta["split"]).cast("timestamp_ntz"))
-    cm = sc.fraud_class_metrics(sc.confusion_matrix(test))
-    auc = sc.roc_auc(test).first()["auc"]          # one scalar
+    # one scoring pass: counts per distinct probability carry all metrics
+    per = cut_lineage(sc.score_counts(test, mlm.THRESHOLD))
+    cm = sc.fraud_class_metrics(sc.confusion_of_counts(per))
+    auc = sc.auc_of_counts(per).first()["auc"]     # one scalar
     return cm.withColumn("auc", F.lit(auc).cast("double"))
 
 
@@ -437,9 +456,10 @@ def q_serve(spark, d):
     from pyspark.ml.functions import vector_to_array
     prob = vector_to_array(F.col("probability"))[1]
     return out.select("transaction_id", "user_id", "transaction_time", "amount",
-                      prob.alias("fraud_probability"),
+                      F.round(prob, 4).alias("fraud_probability"),
                       (prob > mlm.THRESHOLD).cast("int").alias("is_fraud_pred"),
                       fx.risk_level(prob).alias("risk_level"),
+                      fx.decision_label((prob > mlm.THRESHOLD).cast("int")).alias("message"),
                       "velocity_score", "txn_count_1h", "txn_count_24h")
 
 
@@ -483,14 +503,15 @@ def q_forensic(spark, d):
         fx.risk_level(F.col("probability")).alias("risk"),
         fx.decision_label(F.col("prediction")).alias("decision"),
         F.when(F.col("is_fraud") == 1, "Fraud").otherwise("Legit").alias("ground_truth"),
-        F.col("top")[0]["feature"].alias("top_contribution"))
+        F.col("top")[0]["feature"].alias("top_contribution")) \
+        .orderBy(F.col("time_text").desc(), F.col("transaction_id").desc())
 
 
 @query("stream_scores")
 def q_stream_scores(spark, d):
-    return sjobs.stream_scores_job(src.transactions(spark, d), _bundle(spark, d))
+    return sjobs.stream_scores_job(ssrc.transactions_stream(spark, d), _bundle(spark, d))
 
 
 @query("stream_state_ttl")
 def q_stream_state_ttl(spark, d):
-    return sjobs.stream_state_ttl_job(src.transactions(spark, d))
+    return sjobs.stream_state_ttl_job(ssrc.transactions_core_stream(spark, d))

@@ -1,8 +1,8 @@
 from riskwave.sources.tables import read_table
 from riskwave.sources.fixtures import (
-    transactions, transactions_ties, transactions_orders, transactions_nulls,
+    transactions, transactions_core, transactions_countries, transactions_ties, transactions_orders, transactions_nulls,
     requests, scored, TXN_SCHEMA,
 )
 
-__all__ = ["read_table", "transactions", "transactions_ties", "transactions_orders",
+__all__ = ["read_table", "transactions", "transactions_core", "transactions_countries", "transactions_ties", "transactions_orders",
            "transactions_nulls", "requests", "scored", "TXN_SCHEMA"]

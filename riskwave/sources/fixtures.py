@@ -65,8 +65,41 @@ def _base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "ts", "user_id", "event_type", "value")
 
 
-def _build(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
-    """``ev`` has event_id, ts, user_id, event_type, value."""
+def _core() -> list[Column]:
+    """Columns that come from the event row alone."""
+    eid = F.col("event_id")
+    return [
+        eid.alias("transaction_id"),
+        F.col("user_id"),
+        F.col("value").alias("amount"),
+        F.col("ts").alias("transaction_time"),
+        (F.lit(1) + (F.col("user_id") * 37) % 720).cast("long").alias("account_age_days"),
+        (((eid * 7919) % 200000).cast("double") / 100.0).alias("shipping_distance_km"),
+        F.when(eid % 2 == 0, "web").otherwise("app").alias("channel"),
+        F.col("event_type").alias("merchant_category"),
+        _flag(eid % 5 == 0).alias("promo_used"),
+        _flag(eid % 7 != 0).alias("avs_match"),
+        _flag(eid % 13 != 0).alias("cvv_result"),
+        _flag(eid % 3 != 0).alias("three_ds_flag"),
+        _flag(((F.col("value") > 100) & ((eid % 7 == 0) | (eid % 13 == 0)))
+              | (eid % 97 == 0)).alias("is_fraud"),
+    ]
+
+
+def transactions_core_of(ev: DataFrame) -> DataFrame:
+    return ev.select(*_core())
+
+
+def join_static(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
+    """The fact table over ``ev``, which may be a stream: nation names and
+    the users' totals are static sides."""
+    totals = user_totals(_base_events(spark, sf_dir).select("user_id", F.col("value").alias("amount")))
+    return _build(spark, sf_dir, ev, totals)
+
+
+def _build(spark: SparkSession, sf_dir: str, ev: DataFrame, totals: DataFrame | None) -> DataFrame:
+    """``ev`` has event_id, ts, user_id, event_type, value; ``totals`` has a
+    row per user, or is None for a table without the user columns."""
     nation = bounded_broadcast(
         read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
         NATION_ROWS_BOUND)
@@ -76,32 +109,33 @@ def _build(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     ev = (ev.withColumn("_k1", (F.col("user_id") % 25).cast("int"))
             .withColumn("_k2", F.when(eid % 11 == 0, (F.col("user_id") + 1) % 25)
                                 .otherwise(F.col("user_id") % 25).cast("int")))
-    totals = user_totals(ev.select("user_id", F.col("value").alias("amount")))
-    return (ev.join(n1, "_k1").join(n2, "_k2").join(totals, "user_id")
-              .select(
-                  eid.alias("transaction_id"),
-                  F.col("user_id"),
-                  F.col("value").alias("amount"),
-                  F.col("ts").alias("transaction_time"),
-                  F.col("total_transactions_user"),
-                  F.col("avg_amount_user"),
-                  (F.lit(1) + (F.col("user_id") * 37) % 720).cast("long").alias("account_age_days"),
-                  (((eid * 7919) % 200000).cast("double") / 100.0).alias("shipping_distance_km"),
-                  F.col("country"), F.col("bin_country"),
-                  F.when(eid % 2 == 0, "web").otherwise("app").alias("channel"),
-                  F.col("event_type").alias("merchant_category"),
-                  _flag(eid % 5 == 0).alias("promo_used"),
-                  _flag(eid % 7 != 0).alias("avs_match"),
-                  _flag(eid % 13 != 0).alias("cvv_result"),
-                  _flag(eid % 3 != 0).alias("three_ds_flag"),
-                  _flag(((F.col("value") > 100) & ((eid % 7 == 0) | (eid % 13 == 0)))
-                        | (eid % 97 == 0)).alias("is_fraud"),
-              ))
+    joined = ev.join(n1, "_k1").join(n2, "_k2")
+    cols = _core() + [F.col("country"), F.col("bin_country")]
+    if totals is not None:
+        joined = joined.join(totals, "user_id")
+        cols += [F.col("total_transactions_user"), F.col("avg_amount_user")]
+    out = joined.select(*cols)
+    return out.select(*[c for c in TXN_COLUMNS if c in out.columns])
+
+
+def transactions_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table without its joined columns (countries, user totals):
+    a pruned scan, for every query that needs neither."""
+    return transactions_core_of(_base_events(spark, sf_dir))
+
+
+def transactions_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table with countries but without user totals."""
+    return _build(spark, sf_dir, _base_events(spark, sf_dir), None)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main fact table (17 columns, FIXTURES.md section 1)."""
-    return _build(spark, sf_dir, _base_events(spark, sf_dir))
+    return _with_totals(spark, sf_dir, _base_events(spark, sf_dir))
+
+
+def _with_totals(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
+    return _build(spark, sf_dir, ev, user_totals(ev.select("user_id", F.col("value").alias("amount"))))
 
 
 def transactions_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +143,7 @@ def transactions_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = (_base_events(spark, sf_dir)
           .withColumn("user_id", F.col("user_id") % 7)
           .withColumn("ts", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")))
-    return _build(spark, sf_dir, ev)
+    return _with_totals(spark, sf_dir, ev)
 
 
 def transactions_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +153,7 @@ def transactions_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.col("o_custkey").alias("user_id"),
                   F.col("o_orderpriority").alias("event_type"),
                   F.col("o_totalprice").alias("value"))
-    return _build(spark, sf_dir, ev)
+    return _with_totals(spark, sf_dir, ev)
 
 
 def transactions_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +172,7 @@ def transactions_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic score table (no model): a permille hash of the id,
     raised by 450 permille (capped at 999) on fraud rows."""
-    t = transactions(spark, sf_dir).select(
+    t = transactions_core(spark, sf_dir).select(
         "transaction_id", "user_id", "transaction_time", "amount", "is_fraud")
     base = (F.col("transaction_id") * 31) % 1000
     permille = F.when(F.col("is_fraud") == 1, F.least(base + 450, F.lit(999))).otherwise(base)

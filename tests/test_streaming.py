@@ -7,6 +7,7 @@ from riskwave.sources import transactions, transactions_orders
 from riskwave.streaming import run, sources, velocity
 from riskwave.streaming.jobs import stream_velocity_job
 from tests.conftest import SF_MID, SF_SMALL
+from tests.replay import replayed
 
 
 def _same(a, b):
@@ -17,7 +18,7 @@ def test_stream_equals_batch_across_day_gaps(spark):
     # customers order on whole days with long silences: state expiry timers
     # fire and later events start from an empty state
     t = transactions_orders(spark, SF_SMALL)
-    assert _same(stream_velocity_job(t, n_files=5), velocity_features(t))
+    assert _same(stream_velocity_job(replayed(t, n_files=5)), velocity_features(t))
 
 
 def test_disorder_within_watermark_delay(spark):
@@ -51,9 +52,8 @@ def test_disorder_within_watermark_delay(spark):
 def test_progress_counters_and_csv_scan(spark, tmp_path):
     from riskwave.sources.tables import read_csv_transactions
     t = transactions(spark, SF_SMALL)
-    src = sources.replay_transactions(t, "progress", n_files=4)
-    base = src.rsplit("/", 1)[0]
-    s = run.observe_progress(sources.read_stream(spark, src))
+    base = sources.scratch(spark, "progress")
+    s = run.observe_progress(replayed(t, n_files=4))
     out, q = run.run_available(s.select("transaction_id"), base, return_query=True)
     counts = run.processed_counts(q)
     assert counts[-1] == t.count() and counts == sorted(counts) and len(counts) == 4
@@ -64,8 +64,15 @@ def test_progress_counters_and_csv_scan(spark, tmp_path):
     assert back.exceptAll(t).count() == 0 and t.exceptAll(back).count() == 0
 
 
+def test_sessions_over_several_batches_are_complete(spark):
+    from riskwave.operators.windows import user_sessions
+    from riskwave.streaming.jobs import sessions_job
+    t = transactions(spark, SF_SMALL)
+    assert _same(sessions_job(replayed(t, n_files=3)), user_sessions(t))
+
+
 def test_stream_hot_keys_with_ties(spark):
     # 7 users, hour-truncated times: large per-key micro-batches, many ties
     from riskwave.sources import transactions_ties
     t = transactions_ties(spark, SF_MID)
-    assert _same(stream_velocity_job(t, n_files=4), velocity_features(t))
+    assert _same(stream_velocity_job(replayed(t, n_files=4)), velocity_features(t))
