@@ -123,7 +123,8 @@ def plan_streams(docs: DataFrame, source: str, weights: dict | None = None, peri
 
 
 def _slot(j: Column, period: int) -> Column:
-    return F.floor(j / F.col("share")) * period + F.get("slots", (j % F.col("share")).cast("int"))
+    whole = F.floor(j / F.col("share")).cast("long")
+    return whole * period + F.get("slots", (j - whole * F.col("share")).cast("int"))
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, source: str = "source", id_col: str = "doc_id",
@@ -150,16 +151,20 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, source: str = "sou
     ranked = (dealt.withColumn("in_bucket", F.row_number().over(inside))
               .join(before, ["stream", "bucket"])
               .withColumn("rank", F.col("before") + F.col("in_bucket") - 1))
-    first = F.floor(F.col("rank") / block_rows).cast("long")
-    passes = F.ceil(F.col("horizon") * F.col("share") / period / F.col("blocks")).cast("long")
+    # All passes of a block at once: its numbers, and those slots that the
+    # schedule reaches before it ends.
     placed = (ranked.join(known.drop("source", "rows"), "stream")
-              .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), passes)))
-              .withColumn("block", first + F.col("epoch") * F.col("blocks"))
-              .withColumn("slot", _slot(F.col("block"), period)).where("slot < horizon"))
-    return placed.select("row", "stream", "share", "epoch", "block",
+              .withColumn("first", F.expr(f"rank div {block_rows}"))
+              .withColumn("passes", F.expr(f"horizon * share div {period} div blocks + 1"))
+              .withColumn("runs", F.filter(
+                  F.transform(F.sequence(F.col("first"), F.col("first") + F.col("passes") * F.col("blocks"), F.col("blocks")),
+                              lambda j: F.struct(j.alias("block"), _slot(j, period).alias("slot"))),
+                  lambda run: run["slot"] < F.col("horizon")))
+              .select("row", "stream", "share", "blocks", (F.col("rank") % block_rows).alias("place"),
+                      F.inline("runs")))
+    return placed.select("row", "stream", "share", F.expr("block div blocks").alias("epoch"), "block",
                          _release(F.col("block"), F.col("share"), period).alias("release"),
-                         _deadline(F.col("block"), F.col("share"), period).alias("deadline"), "slot",
-                         (F.col("rank") % block_rows).alias("place"))
+                         _deadline(F.col("block"), F.col("share"), period).alias("deadline"), "slot", "place")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
