@@ -64,6 +64,25 @@ def test_progress_counters_and_csv_scan(spark, tmp_path):
     assert back.exceptAll(t).count() == 0 and t.exceptAll(back).count() == 0
 
 
+def test_rows_behind_the_watermark_are_dropped(spark):
+    """Two micro-batches; the second holds one row behind the first one's
+    newest time (late, delay 0) and one ahead of it."""
+    base = sources.scratch(spark, "late")
+    schema = "transaction_id long, user_id long, transaction_time timestamp, amount double"
+    at = lambda h: f"2024-01-01 {h:02d}:00:00"
+
+    def land(rows):
+        df = spark.createDataFrame(rows, "transaction_id long, user_id long, t string, amount double")
+        df.selectExpr("transaction_id", "user_id", "cast(t as timestamp) as transaction_time", "amount") \
+            .coalesce(1).write.mode("append").parquet(base + "/source")
+    land([(1, 7, at(1), 1.0), (2, 7, at(5), 2.0), (3, 8, at(6), 3.0)])
+    land([(4, 7, at(3), 4.0), (5, 7, at(7), 5.0)])
+    from pyspark.sql.types import StructType
+    stream = sources.read_stream(spark, base + "/source", StructType.fromDDL(schema))
+    got = stream_velocity_job(stream)
+    assert {r.transaction_id: r.txn_count_24h for r in got.collect()} == {1: 1, 2: 2, 3: 1, 5: 3}
+
+
 def test_sessions_over_several_batches_are_complete(spark):
     from riskwave.operators.windows import user_sessions
     from riskwave.streaming.jobs import sessions_job
