@@ -230,7 +230,7 @@ def _sparse_vector(size: int):
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _judge(model, id_type: pa.DataType):
+def _judge(model):
     fields = [(c, pa.int64()) for c in COLUMNS] + [("quality_prob", pa.float64())]
 
     def run(batches):
@@ -257,7 +257,7 @@ def judge(docs: DataFrame, model: QualityModel | None, carry: list[str], text_co
     shared = spark.sparkContext.broadcast(model) if model is not None else None
     src = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("_text"))
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
-    out = src.mapInArrow(_judge(shared, None), ddl + "".join(f", {c} long" for c in COLUMNS) + ", quality_prob double")
+    out = src.mapInArrow(_judge(shared), ddl + "".join(f", {c} long" for c in COLUMNS) + ", quality_prob double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = F.coalesce(F.col("quality_prob") >= min_quality, F.lit(True))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *COLUMNS, "quality_prob",

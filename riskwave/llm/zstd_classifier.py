@@ -7,7 +7,7 @@ text.  A text is compressed with each of them, in blocks of
 calibration on labelled rows that the dictionaries were not built from.
 
 The dictionaries come from a bounded sample of labelled rows, of which
-whole texts count up to ``SAMPLE_BYTES`` a class.  Only the text enters
+whole texts of at most ``TEXT_BYTES`` count up to ``SAMPLE_BYTES`` a class.  Only the text enters
 a score.  Null and empty texts have difference 0 and get the score of that
 difference.  Without labelled rows of both classes every score is 0.5.
 Equal rows get equal scores; a null id is never held out; extra columns
@@ -27,6 +27,7 @@ from riskwave.llm.labelled import class_totals, held_out, labelled_sample, with_
 
 ROWS_PER_CLASS = 1500        # labelled rows of each class that are looked at
 SAMPLE_BYTES = 16 << 20      # most bytes of sampled text a class
+TEXT_BYTES = 1 << 20         # longer texts are not sampled (they are scored like all others)
 DICTIONARY_BYTES = 112 << 10
 BLOCK_BYTES = 4096
 LEVEL = 3
@@ -95,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """Dictionaries from half of the sample, calibration on the other half."""
     sample = with_text(labelled_sample(labels, label_col, rows_per_class, id_col), docs, id_col, text_col)
     size = F.sum(F.octet_length("text")).over(_by_hash())
-    rows = (sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).cast("int"))
+    rows = (sample.where(F.octet_length("text") <= TEXT_BYTES).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).cast("int"))
             .withColumn("upto", size).where(F.col("upto") <= SAMPLE_BYTES)
             .select("doc_id", "label", "half", "text").collect())       # bounded by rows and bytes
     rows.sort(key=lambda r: r.doc_id)
