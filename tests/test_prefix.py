@@ -25,6 +25,8 @@ def planner(spark, request):
         spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("planner", [("false", "true"), ("false", "false")], indirect=True,
+                         ids=["no-reuse", "no-aqe"])
 @pytest.mark.parametrize("name", ["running_totals", "idle_reset_counter", "user_sessions", "split_instant",
                                   "latency_summary", "inflight", "roc_auc", "counter_rate"])
 def test_queries_do_not_depend_on_exchange_reuse(spark, duck_small, planner, name):
