@@ -34,6 +34,7 @@ from riskwave.llm.labelled import class_totals, labelled_sample, with_text
 BUCKETS = 1 << 15          # hash buckets per n-gram family
 CHAR_GRAMS = (3, 5)
 SAMPLE_PER_CLASS = 3000    # labelled rows of each class the model is fitted on
+ROWS_PER_FIT_TASK = 500    # a task of the fit sends one gradient, whatever its rows
 MIN_QUALITY = 0.2          # fixed threshold on the calibrated probability
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
@@ -192,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     sparse = (sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).cast("long"))
               .select("text", "label", "fold")
               .mapInArrow(_sparse_features, "label double, fold long, at array<int>, x array<double>")
+              .repartition(max(1, 2 * rows_per_class // ROWS_PER_FIT_TASK))
               .persist())
     try:
         seen = {(r.fit, r.label) for r in sparse.groupBy((F.col("fold") > 0).alias("fit"), "label").count().collect()}
