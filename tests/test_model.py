@@ -87,8 +87,9 @@ def test_contributions_match_brute_force_and_margin(spark, trained):
 
 def test_stream_scoring_equals_batch(spark, trained, tmp_path):
     from riskwave.streaming.jobs import stream_scores_job
+    from riskwave.streaming.sources import transactions_stream
     t, b, feats = trained
-    got = stream_scores_job(t, b).select("transaction_id", "probability", "prediction")
+    got = stream_scores_job(transactions_stream(spark, SF_SMALL), b).select("transaction_id", "probability", "prediction")
     want = mlm.score(b, t, feats).select("transaction_id", "probability", "prediction")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     mlm.write_metrics(sc.fraud_class_metrics(sc.confusion_matrix(mlm.score(b, t, feats))),
