@@ -1,27 +1,29 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents are put into blocks of ``block_rows``.  With target
-weight a/H (integer shares of a period of H slots), its block j is
-released at slot floor(j*H/a) and due by slot ceil((j+1)*H/a).  One block
-runs per slot, and earliest deadline first among the released blocks (ties
-to the lower stream number) keeps every source within less than one block
-of its weight in every prefix of the schedule.
-
-The schedule repeats with the period, so it is made once for H slots, by
-an aggregate over the slots, and applied to every block by arithmetic: the
-block's slot is ``(j div a) * H + slots[j mod a]``.
-
-Every document appears at least once: the schedule goes on until the last
-source has been read once, and a source that ends earlier starts again
-(``epoch`` counts its passes).  Target weights are given, or are row
-counts to the power ``TEMPER``.  The ``MAX_STREAMS`` largest sources are
-streams of their own; rows of all other sources form one more stream, so
-the stream table is bounded and is broadcast.
-
-Only DataFrame expressions.  A document's place within its source comes
-from a hash order: rows are dealt to (stream, bucket) groups of about
-``BUCKET_ROWS`` rows, ranked inside a group, and shifted by the row counts
-of the groups before; no task holds a whole source.
+Target weights are given, or are row counts to the power ``TEMPER``.  The
+mixture goes on until every source of positive weight has been read once: if
+the last one to end has ``rows`` rows and weight w, a source of weight v gives
+v * rows / w rows, and at least all of its own.  A source that ends earlier
+starts again (``epoch`` counts its passes); the row counts follow the unrounded
+weights.  A source of weight zero has no place in the mixture.
+
+A source's rows, pass after pass, are cut into blocks of ``block_rows``; only
+the very last block of a source can be short.  With share a of a period of H
+slots, its block j is released at slot floor(j*H/a) and due by slot
+ceil((j+1)*H/a).  One block runs per slot, earliest deadline first among the
+released blocks (ties to the lower stream number).  The period is ``period``
+if that holds the whole mixture, else a multiple of at least 16 times its
+length, so rounding weights to shares moves a source by at most a block, or a
+sixteenth of one.
+
+The driver makes the schedule from the sources' row counts alone: four bytes a
+block.  Blocks get their slots by a join.  The ``MAX_STREAMS`` largest sources
+are streams of their own; rows of all other sources form one more stream.
+
+Rows are only moved by DataFrame expressions.  A document's place within its
+source comes from a hash order: rows are dealt to (stream, bucket) groups of
+about ``BUCKET_ROWS`` rows, ranked inside a group, and shifted by the row
+counts of the groups before; no task holds a whole source.
 
 Null sources form a source; a null id is an id like any other; repeated
 rows are placed once each; ties in the hash order are broken by id and
@@ -31,10 +33,17 @@ gives an empty result.  The input's columns are returned as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from array import array
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskwave.llm.common import materialise
+from riskwave.plans.broadcast import bounded_broadcast
 
 PERIOD = 1024
 BLOCK_ROWS = 32
@@ -42,6 +51,8 @@ MAX_STREAMS = 64
 BUCKET_ROWS = 4096
 TEMPER = 0.9
 
+MAX_BROADCAST_BLOCKS = 2_000_000    # block numbers with their slots sent to every task at most
+
 
 def _streams(docs: DataFrame, source: str, weights: dict | None, max_streams: int, temper: float) -> DataFrame:
     """(stream, source, rows, weight): at most ``max_streams`` + 1 rows;
@@ -66,65 +77,99 @@ def _streams(docs: DataFrame, source: str, weights: dict | None, max_streams: in
     return out.withColumn("weight", weight)
 
 
-def _shares(streams: DataFrame, period: int) -> DataFrame:
-    """Adds ``share``: integers of at least 1 that sum to ``period``."""
-    every = Window.partitionBy()
-    n = F.count("*").over(every)
-    exact = F.when(F.sum("weight").over(every) > 0, F.col("weight") / F.sum("weight").over(every)).otherwise(1 / n)
-    spare = period - n                     # each stream has one slot for sure
-    out = streams.withColumn("exact", exact * spare).withColumn("whole", F.floor("exact").cast("int"))
-    left = (spare - F.sum("whole").over(every)).cast("int")
-    order = Window.orderBy(F.desc(F.col("exact") - F.col("whole")), "stream")
-    return (out.withColumn("left", left)
-            .withColumn("share", 1 + F.col("whole") + F.when(F.row_number().over(order) <= F.col("left"), 1).otherwise(0))
-            .select("stream", "source", "rows", "share"))
-
-
-def _release(j: Column, share: Column, period: int) -> Column:
-    return F.floor(j * period / share).cast("long")
-
-
-def _deadline(j: Column, share: Column, period: int) -> Column:
-    return F.ceil((j + 1) * period / share).cast("long")
-
-
-def _schedule(streams: DataFrame, period: int) -> DataFrame:
-    """(stream, slots): slots of the stream's blocks within one period."""
-    one = streams.agg(F.sort_array(F.collect_list(F.struct("stream", "share"))).alias("s"))
-    start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("next"),
-                     F.array().cast("array<int>").alias("ran"))
-
-    def step(state, slot):
-        due = F.transform(F.col("s"), lambda x, i: F.struct(
-            F.when(_release(F.get(state["next"], i), x["share"], period) <= slot,
-                   _deadline(F.get(state["next"], i), x["share"], period)).alias("due"),
-            i.alias("i")))
-        first = F.array_min(F.filter(due, lambda d: d["due"].isNotNull()))["i"]
-        return F.struct(F.transform(state["next"], lambda n, i: n + F.when(i == first, 1).otherwise(0)).alias("next"),
-                        F.concat(state["ran"], F.array(first)).alias("ran"))
-
-    ran = one.select("s", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step)["ran"].alias("ran"))
-    return (ran.select("s", F.posexplode("ran").alias("slot", "i"))
-            .select(F.get("s", F.col("i"))["stream"].alias("stream"), "slot")
-            .groupBy("stream").agg(F.sort_array(F.collect_list("slot")).alias("slots")))
+def _shares(weights: list[float], period: int) -> list[int]:
+    """Integers that sum to ``period``, at least 1 for a positive weight."""
+    exact = [w * period for w in weights]
+    share = [max(int(x), int(x > 0)) for x in exact]
+    left = period - sum(share)
+    order = sorted(range(len(exact)), key=lambda i: (share[i] - exact[i], i), reverse=left < 0)
+    able = [i for i in order if share[i] > 1 or left > 0 and exact[i] > 0]
+    for k in range(abs(left)):
+        share[able[k % len(able)]] += 1 if left > 0 else -1
+    return share
+
+
+def _edf(shares: list[int], period: int, blocks: list[int] | None = None) -> tuple[array, array]:
+    """Slots in use and their streams (numbers in ``shares``): earliest
+    deadline first over the first ``blocks`` of each stream, by default over
+    one period."""
+    many = blocks or shares
+    coming = [(0, s) for s, n in enumerate(many) if n]        # (release, stream)
+    ready: list[tuple[int, int]] = []                         # (deadline, stream)
+    done = [0] * len(shares)
+    slots, ran, slot = array("q"), array("i"), 0
+    while coming or ready:
+        while coming and coming[0][0] <= slot:
+            s = heapq.heappop(coming)[1]
+            heapq.heappush(ready, (-(-(done[s] + 1) * period // shares[s]), s))
+        if not ready:
+            slot = coming[0][0]
+            continue
+        s = heapq.heappop(ready)[1]
+        slots.append(slot)
+        ran.append(s)
+        done[s] += 1
+        if done[s] < many[s]:
+            heapq.heappush(coming, (done[s] * period // shares[s], s))
+        slot += 1
+    return slots, ran
+
+
+class Plan:
+    """Streams with their rows, shares and rows in the mixture (``total``)."""
+
+    def __init__(self, streams: list, period: int, block_rows: int):
+        mass = sum(r.weight for r in streams)
+        weights = [r.weight / mass if mass > 0 else 1 / len(streams) for r in streams]
+        rows = max((r.rows / w for r, w in zip(streams, weights) if w > 0), default=0)
+        self.numbers = [r.stream for r in streams]
+        self.sources, self.rows = [r.source for r in streams], [r.rows for r in streams]
+        self.totals = [max(r.rows, round(w * rows)) if w > 0 else 0 for r, w in zip(streams, weights)]
+        self.blocks = [-(-n // block_rows) for n in self.totals]
+        self.period = period
+        if sum(self.blocks) > period or min((w for w in weights if w > 0), default=1) * period < 1:
+            longest = max(sum(self.blocks), max(1 / w for w in weights if w > 0))
+            while self.period < 16 * longest:
+                self.period *= 2
+        self.shares = _shares(weights, self.period) if streams else []
+
+    def schedule(self, spark: SparkSession) -> DataFrame:
+        """(stream, block, slot) of every block of the mixture."""
+        slots, ran = _edf(self.shares, self.period, self.blocks) if self.numbers else ([], [])
+        ran, slots = np.array(ran, np.int32), np.array(slots, np.int64)
+        order = np.argsort(ran, kind="stable")
+        first = np.concatenate(([0], np.cumsum(self.blocks)[:-1])) if self.numbers else np.zeros(0, np.int64)
+        numbers = np.array(self.numbers, np.int32)
+        table = pa.table({"stream": pa.array(numbers[ran[order]], pa.int32()),
+                          "block": pa.array(np.arange(len(ran)) - first[ran[order]], pa.int64()),
+                          "slot": pa.array(slots[order], pa.int64())})
+        return spark.createDataFrame(table, "stream int, block long, slot long")
+
+    def streams(self, spark: SparkSession, kind: T.DataType, *more) -> DataFrame:
+        fields = [("stream", T.IntegerType()), ("source", kind), ("rows", T.LongType()), ("share", T.LongType()),
+                  ("total", T.LongType()), ("period", T.LongType()), *[(name, t) for name, t, _ in more]]
+        values = zip(self.numbers, self.sources, self.rows, self.shares, self.totals,
+                     [self.period] * len(self.numbers), *[v for _, _, v in more])
+        return spark.createDataFrame(list(values), T.StructType([T.StructField(n, t) for n, t in fields]))
+
+
+def _release(j: Column, share: Column, period: Column) -> Column:
+    return F.call_function("div", j * period, share)
+
+
+def _deadline(j: Column, share: Column, period: Column) -> Column:
+    return F.call_function("div", (j + 1) * period + share - 1, share)
 
 
 def plan_streams(docs: DataFrame, source: str, weights: dict | None = None, period: int = PERIOD,
                  block_rows: int = BLOCK_ROWS, max_streams: int = MAX_STREAMS, temper: float = TEMPER) -> DataFrame:
-    """One row per stream: stream, source, rows, share, blocks, slots and
-    ``horizon``, the slot by which every stream has been read once."""
-    if max_streams + 1 > period:
-        raise ValueError("a period needs a slot for every stream")
-    shares = _shares(_streams(docs, source, weights, max_streams, temper), period)
-    both = shares.join(F.broadcast(_schedule(shares, period)), "stream")
-    both = both.withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("long"))
-    last = _slot(F.col("blocks") - 1, period)
-    return both.withColumn("horizon", F.max(last + 1).over(Window.partitionBy()))
-
-
-def _slot(j: Column, period: int) -> Column:
-    whole = F.floor(j / F.col("share")).cast("long")
-    return whole * period + F.get("slots", (j - whole * F.col("share")).cast("int"))
+    """One row per stream: stream, source, rows, share, total, period and
+    ``slots``, those of its blocks in one period of endless sources."""
+    plan = Plan(_streams(docs, source, weights, max_streams, temper).orderBy("stream").collect(), period, block_rows)
+    slots = [[] for _ in plan.numbers]
+    for t, s in zip(*_edf(plan.shares, plan.period)):
+        slots[s].append(t)
+    return plan.streams(docs.sparkSession, docs.schema[source].dataType, ("slots", T.ArrayType(T.LongType()), slots))
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, source: str = "source", id_col: str = "doc_id",
@@ -133,9 +178,11 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, source: str = "sou
     """``row`` (struct of the ``carry`` columns, all by default) with stream,
     share, epoch, block (counted over all epochs), release, deadline, slot
     and place (in the block)."""
-    streams = materialise(plan_streams(docs, source, weights, period, block_rows, max_streams, temper), "streams")
-    total = streams.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // BUCKET_ROWS))
+    spark = docs.sparkSession
+    plan = Plan(_streams(docs, source, weights, max_streams, temper).orderBy("stream").collect(), period, block_rows)
+    streams = materialise(plan.streams(spark, docs.schema[source].dataType), "streams")
+    slots = bounded_broadcast(materialise(plan.schedule(spark), "slots"), MAX_BROADCAST_BLOCKS)
+    buckets = max(1, -(-sum(plan.rows) // BUCKET_ROWS))
     known = F.broadcast(streams)           # at most max_streams + 1 rows
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"),
                        F.col(source).alias("_source"), F.col(id_col).alias("_id"),
@@ -151,20 +198,16 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, source: str = "sou
     ranked = (dealt.withColumn("in_bucket", F.row_number().over(inside))
               .join(before, ["stream", "bucket"])
               .withColumn("rank", F.col("before") + F.col("in_bucket") - 1))
-    # All passes of a block at once: its numbers, and those slots that the
-    # schedule reaches before it ends.
-    placed = (ranked.join(known.drop("source", "rows"), "stream")
-              .withColumn("first", F.expr(f"rank div {block_rows}"))
-              .withColumn("passes", F.expr(f"horizon * share div {period} div blocks + 1"))
-              .withColumn("runs", F.filter(
-                  F.transform(F.sequence(F.col("first"), F.col("first") + F.col("passes") * F.col("blocks"), F.col("blocks")),
-                              lambda j: F.struct(j.alias("block"), _slot(j, period).alias("slot"))),
-                  lambda run: run["slot"] < F.col("horizon")))
-              .select("row", "stream", "share", "blocks", (F.col("rank") % block_rows).alias("place"),
-                      F.inline("runs")))
-    return placed.select("row", "stream", "share", F.expr("block div blocks").alias("epoch"), "block",
-                         _release(F.col("block"), F.col("share"), period).alias("release"),
-                         _deadline(F.col("block"), F.col("share"), period).alias("deadline"), "slot", "place")
+    # All passes of a row at once: its places in the row sequence of its stream.
+    placed = (ranked.join(known.drop("source"), "stream").where(F.col("rank") < F.col("total"))
+              .withColumn("epoch", F.explode(F.expr("sequence(0L, (total - 1 - rank) div rows)")))
+              .withColumn("at", F.col("rank") + F.col("epoch") * F.col("rows"))
+              .withColumn("block", F.expr(f"at div {block_rows}"))
+              .join(slots, ["stream", "block"]))
+    return placed.select("row", "stream", "share", "epoch", "block",
+                         _release(F.col("block"), F.col("share"), F.col("period")).alias("release"),
+                         _deadline(F.col("block"), F.col("share"), F.col("period")).alias("deadline"), "slot",
+                         (F.col("at") % block_rows).alias("place"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

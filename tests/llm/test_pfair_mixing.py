@@ -68,3 +68,37 @@ def test_small_sources_are_pooled_and_edges(spark):
     assert mixed.columns == docs.columns and mixed.count() >= docs.count()
     plan = mixed._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_row_counts_follow_unrounded_weights_with_a_tiny_source(spark):
+    """A hot source, 19 even ones, and one of 10 rows that is due for less
+    than a thousandth of the rows."""
+    sizes = {"hot": 26_000, **{f"s{i:02d}": 2_700 for i in range(19)}, "tiny": 10}
+    docs = spark.createDataFrame([(i, "t", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))],
+                                 "doc_id long, text string, source string")
+    rows = m.mix_sources(docs, carry=["doc_id", "source"]).select(
+        "row.*", "slot", "place", "epoch", "release", "deadline").toPandas()
+    weights = {s: n ** m.TEMPER for s, n in sizes.items()}
+    mass, total = sum(weights.values()), len(rows)
+    emitted = rows.groupby("source").size()
+    assert weights["tiny"] / mass < 1 / m.PERIOD
+    for s, w in weights.items():
+        assert abs(emitted[s] - total * w / mass) <= 2
+    assert set(rows[rows.epoch == 0].doc_id) == set(range(docs.count()))
+    assert ((rows.release <= rows.slot) & (rows.slot < rows.deadline)).all()
+    # only a source's last block is short
+    blocks = rows.groupby(["source", "slot"]).size()
+    assert all((g.iloc[:-1] == m.BLOCK_ROWS).all() for _, g in blocks.groupby(level=0))
+    # prefixes: within one block of rows, and the rows that short blocks lack
+    rows = rows.sort_values(["slot", "place"])
+    for s, w in weights.items():
+        gone = (rows.source == s).cumsum().to_numpy()
+        ideal = [k * w / mass for k in range(1, total + 1)]
+        assert max(abs(gone - ideal)) < 2 * m.BLOCK_ROWS
+
+
+def test_weight_of_zero_has_no_place(spark):
+    docs = spark.createDataFrame([(i, "t", s) for i, s in enumerate("a" * 50 + "b" * 20)],
+                                 "doc_id long, text string, source string")
+    out = m.mix_sources(docs, {"a": 0.0, "b": 1.0})
+    assert {r.source for r in out.select("row.source").collect()} == {"b"} and out.count() == 20
