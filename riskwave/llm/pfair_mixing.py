@@ -16,9 +16,10 @@ if that holds the whole mixture, else a multiple of at least 16 times its
 length, so rounding weights to shares moves a source by at most a block, or a
 sixteenth of one.
 
-The driver makes the schedule from the sources' row counts alone: four bytes a
-block.  Blocks get their slots by a join.  The ``MAX_STREAMS`` largest sources
-are streams of their own; rows of all other sources form one more stream.
+Every source is a stream of its own.  The driver makes the schedule from the
+sources' row counts alone, twelve bytes a block; blocks get their slots by a
+join.  The table of streams is broadcast if it has at most ``max_streams``
+rows, else it is joined by shuffle.
 
 Rows are only moved by DataFrame expressions.  A document's place within its
 source comes from a hash order: rows are dealt to (stream, bucket) groups of
@@ -38,7 +39,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,27 +55,15 @@ TEMPER = 0.9
 MAX_BROADCAST_BLOCKS = 2_000_000    # block numbers with their slots sent to every task at most
 
 
-def _streams(docs: DataFrame, source: str, weights: dict | None, max_streams: int, temper: float) -> DataFrame:
-    """(stream, source, rows, weight): at most ``max_streams`` + 1 rows;
-    stream 0 pools all other sources."""
-    counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("rows"))
-    by_size = Window.orderBy(F.desc("rows"), F.asc_nulls_first("source"))
-    top = (counts.orderBy(F.desc("rows"), F.asc_nulls_first("source")).limit(max_streams)
-           .withColumn("stream", F.row_number().over(by_size)))
-    rest = (counts.agg(F.sum("rows").alias("all"))
-            .select(F.lit(0).alias("stream"), F.lit(None).cast("string").alias("source"), F.col("all").alias("rows")))
-    own = top.select("stream", "source", "rows")
-    others = (rest.unionByName(own.select("stream", "source", (-F.col("rows")).alias("rows")))
-              .agg(F.sum("rows").alias("rows")).where("rows > 0")
-              .select(F.lit(0).alias("stream"), F.lit(None).cast("string").alias("source"), "rows"))
-    out = own.unionByName(others)
-    if weights is None:
-        weight = F.pow(F.col("rows").cast("double"), F.lit(temper))
-    else:
-        known = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
-        weight = F.coalesce(F.when(F.col("source").isNotNull(), F.try_element_at(known, F.col("source"))),
-                            F.lit(0.0))
-    return out.withColumn("weight", weight)
+def _streams(docs: DataFrame, source: str, weights: dict | None, temper: float) -> list:
+    """(stream, source, rows, weight) of every source, the largest first."""
+    counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("rows")) \
+        .withColumn("weight", F.pow(F.col("rows").cast("double"), F.lit(temper))) \
+        .orderBy(F.desc("rows"), F.asc_nulls_first("source")).collect()
+    if weights is not None and (unnamed := [r.source for r in counts if r.source not in weights]):
+        raise ValueError(f"{len(unnamed)} sources have no weight, such as {unnamed[0]!r}")
+    return [Row(stream=k, source=r.source, rows=r.rows,
+                weight=r.weight if weights is None else float(weights[r.source])) for k, r in enumerate(counts, 1)]
 
 
 def _shares(weights: list[float], period: int) -> list[int]:
@@ -165,7 +154,7 @@ def plan_streams(docs: DataFrame, source: str, weights: dict | None = None, peri
                  block_rows: int = BLOCK_ROWS, max_streams: int = MAX_STREAMS, temper: float = TEMPER) -> DataFrame:
     """One row per stream: stream, source, rows, share, total, period and
     ``slots``, those of its blocks in one period of endless sources."""
-    plan = Plan(_streams(docs, source, weights, max_streams, temper).orderBy("stream").collect(), period, block_rows)
+    plan = Plan(_streams(docs, source, weights, temper), period, block_rows)
     slots = [[] for _ in plan.numbers]
     for t, s in zip(*_edf(plan.shares, plan.period)):
         slots[s].append(t)
@@ -179,17 +168,14 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, source: str = "sou
     share, epoch, block (counted over all epochs), release, deadline, slot
     and place (in the block)."""
     spark = docs.sparkSession
-    plan = Plan(_streams(docs, source, weights, max_streams, temper).orderBy("stream").collect(), period, block_rows)
-    streams = materialise(plan.streams(spark, docs.schema[source].dataType), "streams")
+    plan = Plan(_streams(docs, source, weights, temper), period, block_rows)
+    streams = bounded_broadcast(materialise(plan.streams(spark, docs.schema[source].dataType), "streams"), max_streams)
     slots = bounded_broadcast(materialise(plan.schedule(spark), "slots"), MAX_BROADCAST_BLOCKS)
     buckets = max(1, -(-sum(plan.rows) // BUCKET_ROWS))
-    known = F.broadcast(streams)           # at most max_streams + 1 rows
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"),
                        F.col(source).alias("_source"), F.col(id_col).alias("_id"),
                        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"))
-    named = streams.where("stream > 0").select("stream", "source")
-    dealt = (rows.join(F.broadcast(named), F.col("_source").eqNullSafe(F.col("source")), "left")
-             .withColumn("stream", F.coalesce("stream", F.lit(0)))
+    dealt = (rows.join(streams, F.col("_source").eqNullSafe(F.col("source"))).where("total > 0")
              .withColumn("bucket", F.pmod("_h", F.lit(buckets))).drop("source", "_source"))
     sizes = dealt.groupBy("stream", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("stream", "bucket", (F.sum("n").over(
@@ -199,8 +185,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, source: str = "sou
               .join(before, ["stream", "bucket"])
               .withColumn("rank", F.col("before") + F.col("in_bucket") - 1))
     # All passes of a row at once: its places in the row sequence of its stream.
-    placed = (ranked.join(known.drop("source"), "stream").where(F.col("rank") < F.col("total"))
-              .withColumn("epoch", F.explode(F.expr("sequence(0L, (total - 1 - rank) div rows)")))
+    placed = (ranked.withColumn("epoch", F.explode(F.expr("sequence(0L, (total - 1 - rank) div rows)")))
               .withColumn("at", F.col("rank") + F.col("epoch") * F.col("rows"))
               .withColumn("block", F.expr(f"at div {block_rows}"))
               .join(slots, ["stream", "block"]))

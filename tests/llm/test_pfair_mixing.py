@@ -102,3 +102,17 @@ def test_weight_of_zero_has_no_place(spark):
                                  "doc_id long, text string, source string")
     out = m.mix_sources(docs, {"a": 0.0, "b": 1.0})
     assert {r.source for r in out.select("row.source").collect()} == {"b"} and out.count() == 20
+
+
+def test_every_source_has_its_own_weight(spark):
+    """200 sources, far more than are broadcast as streams."""
+    docs = spark.createDataFrame([(i, "t", None if i % 200 == 0 else f"s{i % 200}") for i in range(200 * 40)],
+                                 "doc_id long, text string, source string")
+    weights = {None if k == 0 else f"s{k}": 1.0 + (k == 199) for k in range(200)}
+    rows = m.mix_sources(docs, weights, block_rows=8).select("row.*", "stream", "epoch").toPandas()
+    assert rows.stream.nunique() == 200 and (rows.groupby("stream")["source"].nunique(dropna=False) == 1).all()
+    assert set(rows[rows.epoch == 0].doc_id) == set(range(8000))
+    got = rows.groupby("source", dropna=False).size()
+    assert got["s199"] == 80 and (got.drop("s199") == 40).all()
+    with pytest.raises(ValueError):
+        m.mix_sources(docs, {"s1": 1.0})
