@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskwave.llm.common import prepare, table
 from riskwave.llm.kdtree_topk import ORACLE as KDTREE_TOPK
 from riskwave.llm.line_templates import ORACLE as LINE_TEMPLATES
+from riskwave.llm.merkle_manifest import ORACLE as MERKLE_MANIFEST
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -97,7 +98,17 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.merkle_manifest import manifest, tampered_fields
+    prepare(spark)
+    rows = manifest(table(spark, sf_dir, "documents"), claimed=tampered_fields())
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                       F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
+    "op13_merkle_manifest": op13_merkle_manifest,
     "op7_kdtree_topk": op7_kdtree_topk,
     "op8_chat_format": op8_chat_format,
     "op4_pii_semicrf": op4_pii_semicrf,
@@ -113,4 +124,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op7_kdtree_topk": KDTREE_TOPK,
     "op10_line_templates": LINE_TEMPLATES,
+    "op13_merkle_manifest": MERKLE_MANIFEST,
 }
