@@ -98,6 +98,14 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op12_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.dominance_packing import pack_documents
+    prepare(spark)
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id",
+                         "offset")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskwave.llm.merkle_manifest import manifest, tampered_fields
     prepare(spark)
@@ -108,6 +116,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op12_dominance_packing": op12_dominance_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
     "op7_kdtree_topk": op7_kdtree_topk,
     "op8_chat_format": op8_chat_format,
