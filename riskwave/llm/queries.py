@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskwave.llm.bpa_search import ORACLE as BPA_SEARCH
 from riskwave.llm.common import prepare, table
 from riskwave.llm.kdtree_topk import ORACLE as KDTREE_TOPK
 from riskwave.llm.line_templates import ORACLE as LINE_TEMPLATES
@@ -98,6 +99,12 @@ def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op11_bpa_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskwave.llm.bpa_search import search
+    prepare(spark)
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskwave.llm.dominance_packing import pack_documents
     prepare(spark)
@@ -116,6 +123,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op11_bpa_search": op11_bpa_search,
     "op12_dominance_packing": op12_dominance_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
     "op7_kdtree_topk": op7_kdtree_topk,
@@ -133,5 +141,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op7_kdtree_topk": KDTREE_TOPK,
     "op10_line_templates": LINE_TEMPLATES,
+    "op11_bpa_search": BPA_SEARCH,
     "op13_merkle_manifest": MERKLE_MANIFEST,
 }
