@@ -33,8 +33,10 @@ def labelled_sample(labels: DataFrame, label_col: str, rows_per_class: int,
 
 
 def with_text(sample: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label) of the sample.  The sample is bounded by its
-    own limit, so it is the broadcast side of the scan over the documents."""
+    """(doc_id, label, text) of the sample, one row an id (the smallest text
+    of repeated ids).  The sample is bounded by its own limit, so it is the
+    broadcast side of the scan over the documents."""
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
             .where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-            .join(F.broadcast(sample), "doc_id"))
+            .join(F.broadcast(sample), "doc_id")
+            .groupBy("doc_id", "label").agg(F.min("text").alias("text")))

@@ -10,12 +10,16 @@ n-grams per family plus a bias, so a text's length does not matter.
 A document is kept if it passes the base rules and its calibrated
 probability of being good is at least ``MIN_QUALITY``.  Without labelled
 rows of both classes there is no model: the probability is null and the
-base rules decide alone.
+base rules decide alone.  The fit is limited-memory BFGS over the sample's
+sparse rows in one task; the sample is bounded by rows and by n-gram entries
+(rows in hash order that no longer fit are left out, so one very long text
+cannot fill it).
 
 Words are runs of characters other than U+0020 and U+0009 to U+000D.
 Null and empty texts have no words, hence fail the base rules.  Equal rows
 get equal results; a null id is an id like any other; extra columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result.  A very long text is hashed
+in one step of its own.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ from riskwave.llm.labelled import class_totals, labelled_sample, with_text
 BUCKETS = 1 << 15          # hash buckets per n-gram family
 CHAR_GRAMS = (3, 5)
 SAMPLE_PER_CLASS = 3000    # labelled rows of each class the model is fitted on
-ROWS_PER_FIT_TASK = 500    # a task of the fit sends one gradient, whatever its rows
+SAMPLE_ENTRIES = 40_000_000    # n-gram entries (8 bytes each) of the sample at most; rows beyond are left out
+BLOCK_ENTRIES = 1 << 21    # entries that a step of the fit handles at once
+PENALTY = 2e-3             # on the squared weights
 MIN_QUALITY = 0.2          # fixed threshold on the calibrated probability
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
@@ -143,26 +149,114 @@ def _means(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return (sums[end] - sums[begin]) / np.maximum(end - begin, 1)
 
 
-def _sparse_features(batches):
-    """Training rows: per text, bucket numbers and relative frequencies."""
-    schema = pa.schema([("label", pa.float64()), ("fold", pa.int64()), ("at", pa.list_(pa.int32())),
-                        ("x", pa.list_(pa.float64()))])
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        label, fold = batch.column("label").to_pylist(), batch.column("fold").to_pylist()
-        for off, run in text_runs(texts):
-            fams = hashed_grams(run)
-            at, xs = [], []
-            for i in range(len(run)):
-                a, x = [], []
-                for f, (buckets, begin, end) in enumerate(fams):
-                    own, count = np.unique(buckets[begin[i]:end[i]], return_counts=True)
-                    a.append(own + f * BUCKETS)
-                    x.append(count / max(1, end[i] - begin[i]) * SCALE)
-                at.append(np.concatenate(a))
-                xs.append(np.concatenate(x))
-            yield emit(schema, {"label": label[off:off + len(run)], "fold": fold[off:off + len(run)],
-                                "at": at, "x": xs})
+class _Rows:
+    """Sparse training rows in blocks of about ``BLOCK_ENTRIES`` entries."""
+
+    def __init__(self):
+        self.blocks, self.y, self.entries, self._open = [], [], 0, ([], [], [])
+
+    def add(self, at: np.ndarray, x: np.ndarray, y: float) -> None:
+        for part, value in zip(self._open, (at, x, len(at))):
+            part.append(value)
+        self.y.append(y)
+        self.entries += len(at)
+        if sum(self._open[2]) > BLOCK_ENTRIES:
+            self.close()
+
+    def close(self) -> None:
+        if self._open[2]:
+            at, x, many = self._open
+            self.blocks.append((np.concatenate(at), np.concatenate(x), np.array(many)))
+            self._open = [], [], []
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        out = []
+        for at, x, many in self.blocks:
+            sums = np.concatenate(([0.0], np.cumsum(w[at] * x, dtype=np.float64)))
+            ends = np.cumsum(many)
+            out.append(sums[ends] - sums[ends - many])
+        return np.concatenate(out)
+
+    def weighted_sums(self, r: np.ndarray, size: int) -> np.ndarray:
+        """Sum of the rows, each times its ``r``."""
+        out, row = np.zeros(size), 0
+        for at, x, many in self.blocks:
+            out += np.bincount(at, np.repeat(r[row:row + len(many)], many) * x, size)
+            row += len(many)
+        return out
+
+
+def _features(texts: list[str]):
+    """Per text: bucket numbers and scaled relative frequencies."""
+    for _, run in text_runs(texts):
+        fams = hashed_grams(run)
+        for i in range(len(run)):
+            at, x = [], []
+            for f, (buckets, begin, end) in enumerate(fams):
+                own, count = np.unique(buckets[begin[i]:end[i]], return_counts=True)
+                at.append((own + f * BUCKETS).astype(np.int32))
+                x.append((count / max(1, end[i] - begin[i]) * SCALE).astype(np.float32))
+            yield np.concatenate(at), np.concatenate(x)
+
+
+def _lbfgs(value_and_slope, w: np.ndarray, steps: int = 40, memory: int = 8, tol: float = 1e-5) -> np.ndarray:
+    """Minimise a convex function with limited-memory BFGS steps."""
+    f, g = value_and_slope(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, alphas = -g, []
+        for s, y, rho in reversed(past):
+            alphas.append(rho * (s @ d))
+            d -= alphas[-1] * y
+        if past:
+            d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y, rho), alpha in zip(past, reversed(alphas)):
+            d += (alpha - rho * (y @ d)) * s
+        length, down = 1.0 if past else 1 / max(1.0, np.abs(d).sum()), g @ d
+        while True:
+            moved = w + length * d
+            f_new, g_new = value_and_slope(moved)
+            if f_new <= f + 1e-4 * length * down or length < 1e-10:
+                break
+            length /= 2
+        s, y = moved - w, g_new - g
+        if s @ y > 1e-12:
+            past = [*past[1 - memory:], (s, y, 1 / (s @ y))]
+        gain, w, f, g = f - f_new, moved, f_new, g_new
+        if gain <= tol * max(abs(f), 1e-12):
+            break
+    return w
+
+
+def _fit(rows: _Rows, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression, mean loss plus ``penalty``
+    halves of the squared weights."""
+    y, size = np.array(rows.y), _FAMILIES * BUCKETS
+
+    def value_and_slope(w):
+        m = rows.margins(w[:-1]) + w[-1]
+        p = 1 / (1 + np.exp(-np.clip(m, -50, 50)))
+        loss = np.mean(np.logaddexp(0, m) - y * m) + penalty / 2 * (w[:-1] @ w[:-1])
+        r = (p - y) / len(y)
+        return loss, np.concatenate((rows.weighted_sums(r, size) + penalty * w[:-1], [r.sum()]))
+
+    start = np.zeros(size + 1)
+    start[-1] = np.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9))
+    w = _lbfgs(value_and_slope, start)
+    return w[:-1], float(w[-1])
+
+
+def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a weighted one-variable logistic fit (Newton steps)."""
+    z, beta = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        slope = z.T @ (w * (y - p)) - np.array([1e-4 * beta[0], 0])
+        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + np.diag([1e-4, 1e-9]), slope)
+        beta += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(beta[1])
 
 
 SCALE = 30.0    # n-gram shares are small; a common scale for the penalty
@@ -182,49 +276,46 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
 
 
+def _train_rows(total: dict[int, int], max_entries: int):
+    """One task: the sample's rows in hash order -> the model, as one row."""
+    def run(batches):
+        fit, held = _Rows(), _Rows()
+        for batch in batches:
+            label, fold = batch.column("label").to_pylist(), batch.column("fold").to_pylist()
+            for (at, x), y, k in zip(_features(batch.column("text").to_pylist()), label, fold):
+                if fit.entries + held.entries + len(at) <= max_entries:
+                    (fit if k else held).add(at, x, float(y))
+        fit.close()
+        held.close()
+        if len(set(fit.y)) < 2 or len(set(held.y)) < 2:
+            return
+        w, bias = _fit(fit, PENALTY)
+        y = np.array(held.y)
+        part = np.where(y > 0, total[1] / (y > 0).sum(), total[0] / (y == 0).sum())
+        slope, shift = _platt(held.margins(w) + bias, y, part * len(y) / part.sum())
+        weights = (w * SCALE).astype("<f4").tobytes()
+        yield emit(_MODEL, {"weights": [weights], "bias": [bias], "slope": [slope], "shift": [shift]})
+    return run
+
+
+_MODEL = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("shift", pa.float64())])
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
-          text_col: str = "text", rows_per_class: int = SAMPLE_PER_CLASS) -> QualityModel | None:
+          text_col: str = "text", rows_per_class: int = SAMPLE_PER_CLASS,
+          max_entries: int = SAMPLE_ENTRIES) -> QualityModel | None:
     """Fit on four fifths of the sample and calibrate on the rest; None if
-    either part lacks a class."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
+    either part lacks a class.  The sample is bounded, so one task holds it as
+    sparse rows and the driver gets the weights alone."""
     sample = with_text(labelled_sample(labels, label_col, rows_per_class, id_col), docs, id_col, text_col)
-    sparse = (sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).cast("long"))
-              .select("text", "label", "fold")
-              .mapInArrow(_sparse_features, "label double, fold long, at array<int>, x array<double>")
-              .repartition(max(1, 2 * rows_per_class // ROWS_PER_FIT_TASK))
-              .persist())
-    try:
-        seen = {(r.fit, r.label) for r in sparse.groupBy((F.col("fold") > 0).alias("fit"), "label").count().collect()}
-        if len(seen) < 4:
-            return None
-        size = _FAMILIES * BUCKETS
-        vectors = sparse.select("label", "fold", _sparse_vector(size)("at", "x").alias("features"))
-        model = LogisticRegression(maxIter=40, regParam=2e-3, standardization=False, tol=1e-4).fit(
-            vectors.where("fold > 0"))
-        scored = (model.transform(vectors.where("fold = 0"))
-                  .select("label", array_to_vector(F.array(F.element_at(vector_to_array("rawPrediction"), 2)))
-                          .alias("features")))
-        total = class_totals(labels, label_col, id_col)
-        part = {int(r.label): r["count"] for r in scored.groupBy("label").count().collect()}
-        weighted = scored.withColumn("w", F.when(F.col("label") == 1, total[1] / part[1])
-                                     .otherwise(total[0] / part[0]))
-        platt = LogisticRegression(maxIter=50, regParam=1e-4, standardization=False, weightCol="w").fit(weighted)
-    finally:
-        sparse.unpersist()
-    weights = model.coefficients.toArray().reshape(_FAMILIES, BUCKETS) * SCALE
-    return QualityModel(weights.astype(np.float32), float(model.intercept),
-                        float(platt.coefficients[0]), float(platt.intercept))
-
-
-def _sparse_vector(size: int):
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    @F.udf(VectorUDT())
-    def build(at, x):
-        return Vectors.sparse(size, at, x)
-    return build
+    rows = (sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).cast("long"))
+            .repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "label", "fold"))
+    model = rows.mapInArrow(_train_rows(class_totals(labels, label_col, id_col), max_entries),
+                            "weights binary, bias double, slope double, shift double").collect()
+    if not model:
+        return None
+    weights = np.frombuffer(model[0]["weights"], "<f4").reshape(_FAMILIES, BUCKETS)
+    return QualityModel(weights, model[0]["bias"], model[0]["slope"], model[0]["shift"])
 
 
 # ---- scoring ----------------------------------------------------------------
@@ -262,8 +353,8 @@ def judge(docs: DataFrame, model: QualityModel | None, carry: list[str], text_co
     out = src.mapInArrow(_judge(shared), ddl + "".join(f", {c} long" for c in COLUMNS) + ", quality_prob double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = F.coalesce(F.col("quality_prob") >= min_quality, F.lit(True))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *COLUMNS, "quality_prob",
-                      failed.alias("base_failed"), (~failed & good).alias("kept"))
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *COLUMNS,
+                      failed.alias("base_failed"), (~failed & good).alias("kept"), "quality_prob")
 
 
 def keep_documents(docs: DataFrame, model: QualityModel | None, text_col: str = "text", **rules) -> DataFrame:

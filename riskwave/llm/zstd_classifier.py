@@ -136,9 +136,9 @@ def _score(model):
 
 def score(docs: DataFrame, model: Dictionaries | None, id_col: str = "doc_id", text_col: str = "text",
           cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, difference, score, predicted of every document."""
+    """doc_id, held_out, score, predicted, difference of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
     out = (docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
                        F.col(text_col).alias("text"))
            .mapInArrow(_score(shared), "doc_id long, held_out boolean, difference double, score double"))
-    return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"), "difference")
