@@ -69,6 +69,13 @@ class Pretokens:
         """White-space separated words (U+001C to U+001F are no white space here)."""
         return _WORD.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
 
+    def pretokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text in order; a special string counts as one."""
+        plain = self._cut is None or self._probe not in text
+        if plain and (text.isascii() or not _NOT_LATIN.search(text)):
+            return _LATIN_PIECES.findall(text.lower())
+        return [p for w in self.words(text) for p in self.split_word(w)]
+
     def split_word(self, word: str) -> list[str]:
         """The pre-tokens of a word in order; a special string counts as one."""
         if self._cut is not None and self._probe in word:

@@ -29,6 +29,8 @@ def test_ids_equal_the_library(parts):
     text = "".join(parts)
     got = np.frombuffer(PRE.encode(text), PRE.dtype).tolist()
     assert got == TOK.encode(text, add_special_tokens=False).ids
+    assert [i for p in PRE.pretokens(text) for i in PRE.ids_of(p)] == got
+    assert not any(c in p for p in PRE.pretokens(text) for c in " \t\n")
 
 
 def test_query_equals_library_on_every_document(spark):
@@ -42,12 +44,12 @@ def test_query_equals_library_on_every_document(spark):
             (len(d.text.encode()), n, n > 2048)
 
 
-@pytest.mark.parametrize("head_words", [0, 3, 150_000])
-def test_edges(spark, head_words):
-    if head_words == 0:
+@pytest.mark.parametrize("head", [0, 3, 150_000])
+def test_edges(spark, head):
+    if head == 0:
         assert count_tokens(empty_docs(spark), PATH).count() == 0
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens, r.over_limit)
-                 for r in count_tokens(edge_docs(spark), PATH, head_words=head_words).collect())
+                 for r in count_tokens(edge_docs(spark), PATH, head=head).collect())
     want = [(i, t) for i, t in enumerate(EDGE_TEXTS)] + [(5, EDGE_TEXTS[5])] * 2 + \
         [(-1, "a row without an id"), (-1, None)]
     assert got == sorted((i, len((t or "").encode()), library_count(t), library_count(t) > 2048) for i, t in want)
