@@ -2,36 +2,45 @@
 
 Lines are parsed as a log-template tree does: the first level is the
 number of tokens, the next ``DEPTH`` levels are the leading tokens, and
-tokens that hold a digit are variable fields (``<*>``).  In a leaf, the
-line of the smallest (document, line number) is the template; lines that
-agree with it in at least ``SIMILAR`` of their positions (a variable field
-of the template agrees with everything) share it, every other line is a
-template of its own.  A template that occurs in two or more documents is
-recurring: it stays in the first of them (smallest doc_id) and its lines
-are dropped from all others.
+tokens that hold a digit are variable fields (``<*>``).  A leaf keeps a list
+of templates.  Its lines come in the order of (document, line number); a line
+joins the leaf's first template that it agrees with in at least ``SIMILAR`` of
+its positions (a variable field of the template agrees with everything), and
+becomes a template itself if there is none.  A template that occurs in two or
+more documents is recurring: it stays in the first of them (smallest doc_id)
+and its lines are dropped from all others.  Every line with a token is parsed;
+for lines of up to ``DEPTH`` tokens the leaf is the whole line.
 
 Everything is DataFrame expressions.  Only hashes and positions of lines
 are shuffled; tokens travel only for leaves that hold different lines of
 several documents.  Groups are reduced by minima before the shuffle, so a
 very common line costs one row a task.
 
-Lines with fewer than ``MIN_TOKENS`` tokens are left alone.  Documents
-stay, with empty text if all lines go; null text stays null and has no
-lines.  Rows equal in id and text count as one document and get equal
-results.  Other columns are kept as they are, whatever their names.
+A leaf's templates are found ``CHUNK_LINES`` different lines at a time: the
+first ones form templates in one row, then all lines left in the leaf are
+compared with these, wherever they lie, and what joined none goes into the
+next round, until no leaf has lines left.  The result is that of the whole
+list in order, and no task holds a leaf.
+
+Documents stay, with empty text if all lines go; null text stays null and has
+no lines, empty and blank lines stay.  Very long texts are split by the
+expressions as a whole; the step that drops lines is linear in them.  Rows
+equal in id and text count as one document and get equal results, so repeated
+rows and ties need no order.  An empty table gives an empty result.  Other
+columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskwave.llm.common import materialise
 from riskwave.plans.broadcast import bounded_broadcast
 
-MIN_TOKENS = 4
 DEPTH = 3
 SIMILAR = 0.8
+CHUNK_LINES = 256           # different lines of a leaf that are formed into templates at once
 
 MAX_BROADCAST_LEAVES = 2_000_000    # leaf numbers (8 bytes each) sent to every task at most
 
@@ -40,59 +49,72 @@ _BLANK = " \\t\\x0B\\f\\r"      # white space other than the line feed
 _DIGIT_TOKEN = f"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int) -> DataFrame:
-    """(_id, _th, pos, line, n, leaf, h1, h2) of every line that has enough
-    tokens; ``line`` holds its tokens, variable fields masked, with single
-    spaces between.  Patterns run once over the whole text."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """(_id, _th, pos, line, leaf, h) of every line that has a token; ``line``
+    holds its tokens, variable fields masked, with single spaces between; the
+    hashes ``leaf`` and ``h`` name it.  Patterns run once over the whole text."""
     text = F.col(text_col)
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _DIGIT_TOKEN, "<*>")).otherwise(text)
     spaced = F.regexp_replace(masked, f"[{_BLANK}]+", " ")
     lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"),
                         F.posexplode(F.transform(F.split(spaced, "\n", -1), lambda x: F.trim(x))).alias("pos", "line"))
-    n = F.when(F.col("line") == "", 0).otherwise(
-        F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
-    return (lines.withColumn("n", n).where(F.col("n") >= min_tokens)
-            .withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
-            .withColumn("h1", F.xxhash64("line")).withColumn("h2", F.hash("line")))
-
-
-def _agreement(line: Column, template: Column) -> Column:
-    same = F.zip_with(F.split(line, " "), F.split(template, " "),
-                      lambda a, b: F.when((a == b) | (b == "<*>"), 1).otherwise(0))
-    return F.aggregate(same, F.lit(0), lambda s, x: s + x)
-
-
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    return (lines.where("line <> ''").withColumn("leaf", F.xxhash64(n, F.substring_index("line", " ", depth)))
+            .withColumn("h", F.xxhash64("line")))
+
+
+def _agrees(line: Column, template: Column, similar: float) -> Column:
+    same = F.zip_with(line, template, lambda a, b: (a == b) | (b == "<*>"))
+    return F.size(F.filter(same, lambda x: x)) >= similar * F.size(line)
+
+
+def _families(lines: DataFrame, similar: float, chunk: int) -> DataFrame:
+    """``lines`` (leaf, h, tokens, first), different ones only -> (leaf, h,
+    template), the hash of the line that is each line's template."""
+    named, left = None, lines
+    while True:
+        place = F.row_number().over(Window.partitionBy("leaf").orderBy("first"))
+        heads = left.withColumn("place", place).where(F.col("place") <= chunk)
+        formed = heads.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("first", "h", "tokens"))).alias("heads"))
+        templates = formed.select("leaf", F.aggregate(
+            "heads", F.filter("heads", lambda x: F.lit(False)),
+            lambda found, x: F.when(F.exists(found, lambda t: _agrees(x["tokens"], t["tokens"], similar)), found)
+            .otherwise(F.concat(found, F.array(x)))).alias("templates"))
+        joins = F.get(F.filter("templates", lambda t: _agrees(F.col("tokens"), t["tokens"], similar)), F.lit(0))
+        met = materialise(left.join(templates, "leaf").withColumn("template", joins["h"]).drop("templates"), "families")
+        done = met.where("template is not null").select("leaf", "h", "template")
+        named = done if named is None else named.unionByName(done)
+        left = met.where("template is null").drop("template")
+        if left.isEmpty():
+            return named
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
+                    similar: float = SIMILAR, chunk: int = CHUNK_LINES) -> DataFrame:
     """(_id, _th, dropped): 0-based numbers of the lines to drop, one row
     per document that loses any."""
-    parsed = _lines(docs, id_col, text_col, min_tokens, depth)
-    lines = materialise(parsed.drop("line", "n"), "lines")
+    parsed = _lines(docs, id_col, text_col, depth)
+    lines = materialise(parsed.drop("line"), "lines")
     doc = F.struct("_id", "_th")
     distinct = materialise(
-        lines.groupBy("leaf", "h1", "h2").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "distinct-lines")
-    # Leaves with different lines of several documents: compare each line
-    # with the leaf's first one.  Texts are parsed a second time, as hashes
-    # alone are kept; only these leaves' lines leave the scan, if the leaf
-    # numbers are few enough to broadcast.
+        lines.groupBy("leaf", "h").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "distinct-lines")
+    # Leaves with different lines of several documents have templates to
+    # form.  Texts are parsed a second time, as hashes alone are kept; only
+    # these leaves' lines leave the scan, if the leaf numbers are few enough
+    # to broadcast.
     mixed = distinct.groupBy("leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")) \
         .where((F.col("n") > 1) & ~F.col("lo").eqNullSafe(F.col("hi"))).select("leaf")
     mixed = bounded_broadcast(materialise(mixed, "mixed-leaves"), MAX_BROADCAST_LEAVES)
     worded = materialise(
-        parsed.join(mixed, "leaf", "left_semi").groupBy("leaf", "h1", "h2")
-        .agg(F.min("line").alias("line"), F.min("n").alias("n"),
-             F.min(F.struct("_id", "_th", "pos")).alias("first")), "leaf-lines")
-    templates = worded.groupBy("leaf").agg(F.min_by("line", "first").alias("template"))
-    joined = (worded.join(templates, "leaf")
-              .where(_agreement(F.col("line"), F.col("template")) >= similar * F.col("n"))
-              .select("leaf", "h1", "h2", F.lit(True).alias("shared")))
-    template = F.when(F.col("shared"), F.struct(F.lit(0).alias("kind"), F.col("leaf").alias("a"), F.lit(0).alias("b"))) \
-        .otherwise(F.struct(F.lit(1).alias("kind"), F.col("h1").alias("a"), F.col("h2").alias("b")))
-    named = distinct.join(joined, ["leaf", "h1", "h2"], "left").withColumn("template", template)
-    recurring = (named.groupBy("template").agg(F.min("lo").alias("home"), F.max("hi").alias("far"))
-                 .where(~F.col("home").eqNullSafe(F.col("far"))).select("template", "home"))
-    homes = named.join(recurring, "template").select("leaf", "h1", "h2", "home")
-    return (lines.join(homes, ["leaf", "h1", "h2"])
+        parsed.join(mixed, "leaf", "left_semi").groupBy("leaf", "h")
+        .agg(F.min("line").alias("line"), F.min(F.struct("_id", "_th", "pos")).alias("first"))
+        .select("leaf", "h", F.split("line", " ").alias("tokens"), "first"), "leaf-lines")
+    named = (distinct.join(_families(worded, similar, chunk), ["leaf", "h"], "left")
+             .withColumn("template", F.coalesce("template", "h")))
+    recurring = (named.groupBy("leaf", "template").agg(F.min("lo").alias("home"), F.max("hi").alias("far"))
+                 .where(~F.col("home").eqNullSafe(F.col("far"))).select("leaf", "template", "home"))
+    homes = named.join(recurring, ["leaf", "template"]).select("leaf", "h", "home")
+    return (lines.join(homes, ["leaf", "h"])
             .where(~F.struct("_id", "_th").eqNullSafe(F.col("home")))
             .groupBy("_id", "_th").agg(F.sort_array(F.collect_set("pos")).alias("dropped")))
 
@@ -107,8 +129,9 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     both = keyed.join(drops, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
     text = F.col("row").getField(text_col)
     parts = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
     kept = F.when(F.col("dropped").isNull(), text).otherwise(
-        F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n"))
+        F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     cols = [(kept if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns
             if not (stats and c in ("n_lines", "n_dropped"))]
     if stats:
@@ -119,7 +142,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 # DuckDB SQL for the query's rows (documents with distinct ids).
 ORACLE = f"""
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS line
   FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS g(i)
 ), parsed AS (
@@ -127,17 +150,17 @@ WITH lines AS (
       list_filter(regexp_split_to_array(line, '[ \\t-\\r]+'), lambda t: t <> ''),
       lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
   FROM lines
-), wide AS (
-  SELECT doc_id, pos, tokens, {{'n': len(tokens), 'lead': tokens[1:{DEPTH}]}} AS leaf
-  FROM parsed WHERE len(tokens) >= {MIN_TOKENS}
-), first AS (
-  SELECT leaf, arg_min(tokens, {{'d': doc_id, 'p': pos}}) AS template FROM wide GROUP BY leaf
+), steps AS (
+  SELECT doc_id, pos, tokens, {{'n': len(tokens), 'lead': tokens[1:{DEPTH}]}} AS leaf, CAST(NULL AS VARCHAR[]) AS template
+  FROM parsed WHERE len(tokens) > 0
+  UNION ALL
+  SELECT doc_id, pos, tokens, leaf, CASE WHEN
+      list_sum(list_transform(list_zip(tokens, first), lambda z: CASE WHEN z[1] = z[2] OR z[2] = '<*>' THEN 1 ELSE 0 END))
+        >= {SIMILAR} * len(tokens) THEN first END
+  FROM (SELECT *, first_value(tokens) OVER (PARTITION BY leaf ORDER BY doc_id, pos) AS first
+        FROM steps WHERE template IS NULL)
 ), named AS (
-  SELECT doc_id, pos, wide.leaf, CASE WHEN
-      list_sum(list_transform(list_zip(tokens, template),
-        lambda z: CASE WHEN z[1] = z[2] OR z[2] = '<*>' THEN 1 ELSE 0 END)) >= {SIMILAR} * len(tokens)
-    THEN ['<leaf>'] ELSE tokens END AS template
-  FROM wide JOIN first ON wide.leaf = first.leaf
+  SELECT * FROM steps WHERE template IS NOT NULL
 ), home AS (
   SELECT leaf, template, min(doc_id) AS home FROM named GROUP BY leaf, template
 ), gone AS (

@@ -1,3 +1,4 @@
+import random
 import re
 
 from riskwave.llm import line_templates as m
@@ -13,16 +14,15 @@ def brute(docs):
     for d, text in docs:
         for p, line in enumerate((text or "").split("\n") if text is not None else []):
             toks = [re.sub(r".*[0-9].*", "<*>", t) for t in re.split(r"[ \t-\r]+", line) if t]
-            if len(toks) >= m.MIN_TOKENS:
+            if toks:
                 lines.append((d, p, tuple(toks), (len(toks), tuple(toks[:m.DEPTH]))))
-    first = {}
+    templates, home, name = {}, {}, {}
     for d, p, toks, leaf in sorted(lines, key=lambda x: x[:2]):
-        first.setdefault(leaf, toks)
-    home, name = {}, {}
-    for d, p, toks, leaf in sorted(lines, key=lambda x: x[:2]):
-        rep = first[leaf]
-        near = sum(a == b or b == "<*>" for a, b in zip(toks, rep)) >= m.SIMILAR * len(toks)
-        name[d, p] = (leaf, "leaf") if near else (leaf, toks)
+        known = templates.setdefault(leaf, [])
+        near = [t for t in known if sum(a == b or b == "<*>" for a, b in zip(toks, t)) >= m.SIMILAR * len(toks)]
+        if not near:
+            known.append(toks)
+        name[d, p] = (leaf, near[0] if near else toks)
         home.setdefault(name[d, p], d)
     return {d: None if text is None else "\n".join(
         x for p, x in enumerate(text.split("\n")) if (d, p) not in name or home[name[d, p]] == d)
@@ -48,7 +48,34 @@ def test_templates_generalise_variable_fields(spark):
             (5, "posted by anna in a club last week or so by me\n"), (6, None), (7, "")]
     out = {r.doc_id: r.text for r in m.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == brute(docs)
-    assert out[2] == "another line that is only here" and out[4] == "short line" and out[5] == docs[4][1]
+    assert out[2] == "another line that is only here" and out[4] == "" and out[5] == docs[4][1]
+
+
+def test_short_lines(spark):
+    docs = [(1, "All rights reserved.\nLes.\n17"), (2, "Les.\nAll rights reserved.\nOwn."), (3, "  Les. \n-\n\n4"),
+            (4, "漢字漢字漢字\nLes. mots"), (5, "漢字漢字漢字")]
+    out = {r.doc_id: r.text for r in m.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == brute(docs) and out == {1: docs[0][1], 2: "Own.", 3: "-\n", 4: docs[3][1], 5: ""}
+
+
+def test_a_leaf_with_many_families(spark):
+    """Families of one leaf that only a list of templates keeps apart, in
+    chunks smaller than the leaf, and a leaf that holds most lines."""
+    rng = random.Random(2)
+    names = [f"{a}{b}" for a in "bcdfgklmnp" for b in ("ana", "oto", "iri", "u")]
+    family = [[rng.choice(names) for _ in range(7)] for _ in range(30)]
+    docs = []
+    for d in range(200):
+        lines = []
+        for _ in range(4):
+            tail = list(rng.choice(family))
+            if rng.random() < 0.7:
+                tail[rng.randrange(7)] = rng.choice(names)
+            lines.append("the old house " + " ".join(tail))
+        docs.append((d, "\n".join(lines)))
+    df, want = spark.createDataFrame(docs, "doc_id long, text string"), brute(docs)
+    for chunk in (1, 7, 256):
+        assert {r.doc_id: r.text for r in m.drop_recurring_lines(df, chunk=chunk).collect()} == want
 
 
 def test_edges(spark):
