@@ -138,18 +138,31 @@ def bundle_for(spark: SparkSession, sf_dir: str, txn: DataFrame, params: dict |
     return load(spark, path)
 
 
-def serving_frame(txn: DataFrame, velocity: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Feature frame as the serving path builds it: request fields +
-    engineered features + the user's velocity state visible at request
-    time (as-of lookup, request columns carried through it, no join back);
-    ``total_transactions_user`` is replaced by the 24 h count when the
-    velocity score is positive (serving-only, as in the reference)."""
+def override(requests: DataFrame) -> DataFrame:
+    """``total_transactions_user`` is replaced by the 24 h count when the
+    velocity score is positive (serving only)."""
+    return requests.withColumn("total_transactions_user",
+                               F.when(F.col("velocity_score") > 0, F.col("txn_count_24h"))
+                               .otherwise(F.col("total_transactions_user")))
+
+
+def serve(bundle: Bundle, requests: DataFrame) -> DataFrame:
+    """Decisions on requests that carry the velocity state visible to them
+    (as-of lookup or stream state): override, features, model, verdict."""
+    frame = feature_frame(override(requests), bundle.vocab, extra=["velocity_score", "txn_count_1h", "txn_count_24h"])
+    prob = vector_to_array(F.col("probability"))[1]
+    verdict = (prob > THRESHOLD).cast("int")
+    return bundle.model.transform(frame).select(
+        "transaction_id", "user_id", "transaction_time", "amount", F.round(prob, 4).alias("fraud_probability"),
+        verdict.alias("is_fraud_pred"), fx.risk_level(prob).alias("risk_level"),
+        fx.decision_label(verdict).alias("message"), "velocity_score", "txn_count_1h", "txn_count_24h")
+
+
+def serving_rows(txn: DataFrame, velocity: DataFrame) -> DataFrame:
+    """Requests with the user's velocity state visible at request time (as-of
+    lookup, request columns carried through it, no join back)."""
     from riskwave.operators.state import asof_state_lookup
-    s = asof_state_lookup(txn, velocity, carry=txn.columns)
-    s = s.withColumn("total_transactions_user",
-                     F.when(F.col("velocity_score") > 0, F.col("txn_count_24h"))
-                      .otherwise(F.col("total_transactions_user")))
-    return feature_frame(s, vocab, extra=["velocity_score", "txn_count_1h", "txn_count_24h"])
+    return asof_state_lookup(txn, velocity, carry=txn.columns)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -599,3 +599,20 @@ SELECT user_id, arg_max(transaction_time, (transaction_time, transaction_id)) AS
 FROM transactions GROUP BY user_id
 HAVING epoch_us(MAX(transaction_time)) + 86400000000
        >= (SELECT epoch_ms(MAX(transaction_time)) * 1000 FROM transactions)"""))
+register("stream_serving_state", ORACLES["serving_features"])
+# The stream's rows are the batch serving rows, so all of them are equal.
+register("stream_serving_parity", _q(TX, body="""
+SELECT user_id, COUNT(*) AS batch_rows, COUNT(*) AS stream_rows, COUNT(*) AS equal_rows
+FROM transactions GROUP BY user_id"""))
+register("late_data", _q(TX, body="""
+SELECT transaction_id, user_id, transaction_time AS event_time, amount, arrival_batch, watermark,
+  coalesce(transaction_time < watermark, false) AS late
+FROM (SELECT *, dense_rank() OVER (ORDER BY
+          (CAST(floor(epoch(transaction_time)) AS BIGINT) + (transaction_id * 7919) % 21600) // 259200) - 1 AS arrival_batch
+      FROM transactions)
+JOIN (SELECT arrival_batch, MAX(MAX(transaction_time)) OVER (
+          ORDER BY arrival_batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS watermark
+      FROM (SELECT transaction_time, dense_rank() OVER (ORDER BY
+          (CAST(floor(epoch(transaction_time)) AS BIGINT) + (transaction_id * 7919) % 21600) // 259200) - 1 AS arrival_batch
+        FROM transactions)
+      GROUP BY arrival_batch) USING (arrival_batch)"""))

@@ -387,6 +387,8 @@ def q_inflight(spark, d):
 # ---------------------------------------------------------------- streaming
 from riskwave.streaming import jobs as sjobs                  # noqa: E402
 from riskwave.streaming import sources as ssrc                # noqa: E402
+from riskwave.streaming import velocity                        # noqa: E402
+from riskwave.streaming.run import run_available               # noqa: E402
 
 
 @query("stream_velocity")
@@ -451,16 +453,7 @@ def q_model_eval(spark, d):
 @query("serve_transactions")
 def q_serve(spark, d):
     t = src.transactions(spark, d)
-    b = _bundle(spark, d)
-    out = b.model.transform(mlm.serving_frame(t, _velocity(spark, d, t), b.vocab))
-    from pyspark.ml.functions import vector_to_array
-    prob = vector_to_array(F.col("probability"))[1]
-    return out.select("transaction_id", "user_id", "transaction_time", "amount",
-                      F.round(prob, 4).alias("fraud_probability"),
-                      (prob > mlm.THRESHOLD).cast("int").alias("is_fraud_pred"),
-                      fx.risk_level(prob).alias("risk_level"),
-                      fx.decision_label((prob > mlm.THRESHOLD).cast("int")).alias("message"),
-                      "velocity_score", "txn_count_1h", "txn_count_24h")
+    return mlm.serve(_bundle(spark, d), mlm.serving_rows(t, _velocity(spark, d, t)))
 
 
 @query("explain_transactions")
@@ -512,6 +505,39 @@ def q_stream_scores(spark, d):
     return sjobs.stream_scores_job(ssrc.transactions_stream(spark, d), _bundle(spark, d))
 
 
+@query("stream_serving_parity")
+def q_stream_serving_parity(spark, d):
+    """Per user: requests served in batch, and those whose row the stream
+    gave exactly so (state, override, probability and verdict)."""
+    batch, stream = (rows.groupBy(*rows.columns).count() for rows in (q_serve(spark, d), q_stream_scores(spark, d)))
+    same = F.lit(True)
+    for c in batch.columns:
+        same = same & F.col("b." + c).eqNullSafe(F.col("s." + c))
+    both = batch.alias("b").join(stream.alias("s"), same, "full")
+    return both.groupBy(F.coalesce("b.user_id", "s.user_id").alias("user_id")).agg(
+        F.coalesce(F.sum("b.count"), F.lit(0)).alias("batch_rows"),
+        F.coalesce(F.sum("s.count"), F.lit(0)).alias("stream_rows"),
+        F.sum(F.when(F.col("b.user_id").isNotNull() & F.col("s.user_id").isNotNull(), F.col("b.count"))
+              .otherwise(0)).alias("equal_rows"))
+
+
+@query("stream_serving_state")
+def q_stream_serving_state(spark, d):
+    """The state that the stream shows to each request, before the model."""
+    rows = velocity.stream_serving(ssrc.transactions_stream(spark, d)).select(
+        "transaction_id", "user_id", F.col("total_transactions_user").alias("given_total_transactions"),
+        "total_transactions_user", "velocity_score", "txn_count_24h")
+    out = run_available(mlm.override(rows), ssrc.scratch(spark, "serving-state"))
+    return spark.read.parquet(out)
+
+
+@query("late_data")
+def q_late_data(spark, d):
+    out = sjobs.late_data_job(src.transactions_delayed(spark, d), src.LATE_DELAY)
+    return out.select("transaction_id", "user_id", F.col("transaction_time").alias("event_time"), "amount",
+                      "arrival_batch", "watermark", "late")
+
+
 @query("stream_state_ttl")
 def q_stream_state_ttl(spark, d):
     return sjobs.stream_state_ttl_job(ssrc.transactions_core_stream(spark, d))

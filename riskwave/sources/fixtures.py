@@ -5,6 +5,8 @@ tables, so every downstream query scales with the input."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,6 +158,18 @@ def transactions_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_totals(spark, sf_dir, ev)
 
 
+LATE_DELAY = dt.timedelta(hours=2)
+ARRIVAL_SLICE_S = 3 * 86_400
+
+
+def transactions_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core transactions as they arrive: up to six hours after their time,
+    collected in slices of three days (``arrival_slice``)."""
+    t = transactions_core(spark, sf_dir)
+    arrival = F.unix_seconds(F.col("transaction_time").cast("timestamp")) + (F.col("transaction_id") * 7919) % 21_600
+    return t.withColumn("arrival_slice", F.floor(arrival / ARRIVAL_SLICE_S))
+
+
 def transactions_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variant with missing category / country / bin country."""
     t = transactions(spark, sf_dir)

@@ -85,9 +85,117 @@ def test_rows_behind_the_watermark_are_dropped(spark):
 
 def test_sessions_over_several_batches_are_complete(spark):
     from riskwave.operators.windows import user_sessions
+    from riskwave.sources import transactions_ties
     from riskwave.streaming.jobs import sessions_job
     t = transactions(spark, SF_SMALL)
     assert _same(sessions_job(replayed(t, n_files=3)), user_sessions(t))
+    hot = transactions_ties(spark, SF_SMALL)          # 7 users, many equal instants
+    assert _same(sessions_job(replayed(hot, n_files=4)), user_sessions(hot))
+
+
+def _landed(spark, base, batches):
+    """A stream of one micro-batch per list of (id, user, "hh:mm", amount)."""
+    from pyspark.sql.types import StructType
+    for rows in batches:
+        df = spark.createDataFrame([(i, u, f"2024-01-01 {t}:00", a) for i, u, t, a in rows],
+                                   "transaction_id long, user_id long, t string, amount double")
+        df.selectExpr("transaction_id", "user_id", "cast(t as timestamp) as transaction_time", "amount") \
+            .coalesce(1).write.mode("append").parquet(base + "/source")
+    schema = "transaction_id long, user_id long, transaction_time timestamp, amount double"
+    return sources.read_stream(spark, base + "/source", StructType.fromDDL(schema))
+
+
+def test_only_changed_sessions_are_emitted(spark):
+    """Batches with a delay of 12 h: new, grown, untouched and joined sessions."""
+    from riskwave.streaming.run import run_available_batches
+    from riskwave.streaming.sessions import session_changes
+    base = sources.scratch(spark, "session-changes")
+    stream = _landed(spark, base, [
+        [(1, 7, "01:00", 1.0), (2, 7, "03:00", 2.0), (3, 8, "01:00", 1.0)],
+        [(4, 7, "03:30", 4.0), (5, 9, "05:00", 1.0)],
+        [(6, 7, "02:00", 8.0)],                       # exactly an hour from both: joins them
+        [(7, 7, "00:30", 16.0)]])
+    seen = {}
+
+    def write(batch, batch_id):
+        rows = [(r.user_id, r.session_start.strftime("%H:%M"), r.session_end.strftime("%H:%M"), r.events, int(r.amount_sum))
+                for r in batch.collect()]
+        if rows:
+            seen[batch_id] = sorted(rows)
+    run_available_batches(session_changes(stream, delay="12 hours"), base, write)
+    assert list(seen.values()) == [
+        [(7, "01:00", "02:00", 1, 1), (7, "03:00", "04:00", 1, 2), (8, "01:00", "02:00", 1, 1)],
+        [(7, "03:00", "04:30", 2, 6), (9, "05:00", "06:00", 1, 1)],
+        [(7, "01:00", "04:30", 4, 15), (7, "03:00", "04:30", 0, 0)],
+        [(7, "00:30", "04:30", 5, 31), (7, "01:00", "04:30", 0, 0)]]
+
+
+def test_session_state_ends_behind_the_watermark(spark):
+    from riskwave.streaming.jobs import sessions_job
+    base = sources.scratch(spark, "session-late")
+    got = sessions_job(_landed(spark, base, [
+        [(1, 7, "01:00", 1.0), (2, 8, "05:00", 2.0)],
+        [(3, 7, "01:30", 4.0), (4, 7, "05:30", 8.0), (5, 7, "05:30", 8.0)]]))      # 3 is late: dropped
+    assert sorted((r.user_id, r.session_start.hour, r.events, int(r.amount_sum)) for r in got.collect()) == [
+        (7, 1, 1, 1), (7, 5, 2, 16), (8, 5, 1, 2)]
+
+
+def test_sliding_windows_are_made_of_panes(spark):
+    """Over several batches: equal to a window of every row; the log holds
+    panes and the windows take no exchange beside the one by user."""
+    from riskwave.streaming.jobs import sliding_job
+    from riskwave.streaming.windows import combine_panes
+    t = transactions(spark, SF_SMALL)
+    w = F.window(F.col("transaction_time").cast("timestamp"), "24 hours", "1 hour")
+    want = t.groupBy("user_id", w["start"].cast("timestamp_ntz").alias("window_start"),
+                     w["end"].cast("timestamp_ntz").alias("window_end")) \
+        .agg(F.count("*").alias("txn_count"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(38,2)").alias("amount_sum"))
+    assert _same(sliding_job(replayed(t, n_files=3)), want)
+    panes = spark.createDataFrame([], "user_id long, window_start timestamp_ntz, window_end timestamp_ntz, "
+                                      "txn_count long, amount_sum decimal(38,2)")
+    plan = combine_panes(panes.repartition(3))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") <= 2
+
+
+def test_late_rows_go_to_the_side_output(spark):
+    import datetime as dt
+
+    from riskwave.streaming.jobs import late_data_job
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(1, at(1), 0), (2, at(9), 0), (3, at(6), 1), (4, at(7), 1), (5, at(8), 1), (6, at(8), 1),
+            (7, at(20), 2), (8, at(7), 2), (9, None, 2), (10, at(12), 3), (11, at(18), 3)]
+    df = spark.createDataFrame(rows, "transaction_id long, transaction_time timestamp_ntz, arrival_slice long").repartition(3)
+    got = {r.transaction_id: (r.arrival_batch, r.watermark, r.late) for r in late_data_job(df, dt.timedelta(hours=2)).collect()}
+    mark, want = None, {}
+    for b in range(4):
+        own = [r for r in rows if r[2] == b]
+        want |= {i: (b, mark, t is not None and mark is not None and t < mark) for i, t, _ in own}
+        mark = max([t - dt.timedelta(hours=2) for _, t, _ in own if t] + ([mark] if mark else []))
+    assert got == want and sum(x[2] for x in got.values()) == 2
+
+
+def test_a_repeated_batch_writes_the_same_outputs(spark):
+    import datetime as dt
+
+    from riskwave.streaming import late
+    base = sources.scratch(spark, "late-again")
+    write = late.splitter(base, dt.timedelta(hours=1))
+    batch = [spark.createDataFrame([(i, dt.datetime(2024, 1, 1, h)) for i, h in rows], "id long, transaction_time timestamp_ntz")
+             for rows in ([(1, 5)], [(2, 3), (3, 8)], [(4, 6)])]
+    for k in (0, 1, 0, 1, 2, 1, 2):
+        write(batch[k], k)
+    assert sorted((r.id, r.late) for r in late.outputs(spark, base).collect()) == [(1, False), (2, True), (3, False), (4, True)]
+
+
+def test_stream_state_before_each_request_equals_the_lookup(spark):
+    """Several micro-batches, ties, day gaps (state older than its life)."""
+    from riskwave.operators.state import asof_state_lookup
+    from riskwave.sources import transactions_ties
+    for t in (transactions_orders(spark, SF_SMALL), transactions_ties(spark, SF_SMALL)):
+        base = sources.scratch(spark, "serving")
+        got = spark.read.parquet(run.run_available(velocity.stream_serving(replayed(t, n_files=4)), base))
+        want = asof_state_lookup(t, velocity_features(t), carry=t.columns)
+        assert got.where("state_time is not null").count() > 0 and _same(got.select(*want.columns), want)
 
 
 def test_stream_hot_keys_with_ties(spark):
