@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from riskwave.operators.scores import exact_ratio
 from riskwave.plans.prefix import keyed_prefix
+from riskwave.plans.selection import order_statistics
 
 MONEY = T.DecimalType(18, 2)
 TOTAL = T.DecimalType(38, 2)
@@ -112,17 +113,15 @@ def dataset_summary(txn: DataFrame) -> DataFrame:
 def split_instant(txn: DataFrame, q: float = SPLIT_QUANTILE,
                   ts: str = "transaction_time", tid: str = "transaction_id") -> DataFrame:
     """Exact ``q`` quantile of the event time with linear interpolation,
-    distributed: global ranks by range partitioning (no single buffer
-    holding every value), then the two neighbouring order statistics."""
-    us = txn.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(tid))
+    from the two neighbouring order statistics; counted, not sorted."""
+    us = txn.select(F.lit(0).alias("_g"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")).where("_us is not null")
     n = us.count()
     if n == 0:
         return txn.sparkSession.createDataFrame([], "split_instant timestamp_ntz")
     pos = (n - 1) * q
     lo, hi = int(pos // 1), int(-(-pos // 1))
-    ranked = keyed_prefix(us, [], ["_us", tid])
-    picked = ranked.where(F.col("rn").isin(lo + 1, hi + 1)).agg(
-        F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+    ranks = txn.sparkSession.createDataFrame([(0, "lo", lo + 1), (0, "hi", hi + 1)], "_g int, target string, rank long")
+    picked = order_statistics(us, "_us", ranks, ["_g"]).agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
     frac = pos - lo
     value = F.col("_lo").cast("double") + (F.col("_hi") - F.col("_lo")).cast("double") * F.lit(frac)
     return picked.select(F.timestamp_micros(F.floor(value)).cast("timestamp_ntz").alias("split_instant"))
@@ -154,22 +153,19 @@ def class_weight(txn: DataFrame, split) -> DataFrame:
 
 def latency_summary(req: DataFrame, value: str = "latency_ms", group: str = "handler") -> DataFrame:
     """mean/min/max, median (mean of the two middle values) and index
-    percentiles ``sorted[floor(n*q)]`` per group.  Ranks come from the
-    distributed prefix helper, so a hot group is spread over tasks."""
-    v = req.select(group, value, "request_id", "status")
+    percentiles ``sorted[floor(n*q)]`` per group, by exact selection: counts
+    per bin instead of a sort, so a hot group or value is spread over tasks."""
+    v = req.select(group, value, "status")
     counts = v.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.sum(F.col(value).cast(MONEY)).alias("_sum"),
         F.count_if(F.col("status").rlike("^5..$")).alias("errors"))
-    ranked = keyed_prefix(v.select(group, value, "request_id"), [group], [value, "request_id"])
-    r = ranked.join(counts.select(group, "n"), group)
-    pos = F.col("rn") - 1
     n = F.col("n")
-    picks = r.groupBy(group).agg(
-        F.max(F.when(pos == F.floor((n - 1) / 2), F.col(value))).alias("_m1"),
-        F.max(F.when(pos == F.floor(n / 2), F.col(value))).alias("_m2"),
-        F.max(F.when(pos == F.floor(n * 95 / 100), F.col(value))).alias("p95"),
-        F.max(F.when(pos == F.floor(n * 99 / 100), F.col(value))).alias("p99"))
+    places = {"_m1": F.floor((n - 1) / 2), "_m2": F.floor(n / 2), "p95": F.floor(n * 95 / 100), "p99": F.floor(n * 99 / 100)}
+    ranks = counts.select(group, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("target"), (place + 1).cast("long").alias("rank")) for name, place in places.items()])))
+    picks = order_statistics(v, value, ranks, [group]).groupBy(group).agg(
+        *[F.max(F.when(F.col("target") == name, F.col(value))).alias(name) for name in places])
     return counts.join(picks, group).select(
         group, "n", (F.col("_sum").cast("double") / F.col("n")).alias("mean"), "min",
         F.when(F.col("n") % 2 == 1, F.col("_m2"))

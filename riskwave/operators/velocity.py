@@ -50,22 +50,23 @@ def velocity_features(df: DataFrame, key: str = "user_id", ts: str = "transactio
                       long_h: int = LONG_FRAME_H) -> DataFrame:
     """One row per input event: user_id, transaction_id, event_time,
     txn_count_1h, txn_count_24h, amount_sum_1h, avg_amount_24h,
-    velocity_score.  ``(time, id)`` identifies an event of a user."""
-    base = df.select(F.col(key).alias("_k"), F.col(tid).alias("_id"), F.col(ts).alias("_ts"),
+    velocity_score.  An event that is delivered twice is two events, one
+    after the other in the frames."""
+    base = df.select(F.monotonically_increasing_id().alias("_u"), F.col(key).alias("_k"), F.col(tid).alias("_id"), F.col(ts).alias("_ts"),
                      (F.col(amount).cast(MONEY) * 100).cast("long").alias("_cents"))
     base = base.withColumn("_us", F.unix_micros(F.col("_ts").cast("timestamp")))
     # side 0 / 1: probes at the start of the short / long frame; side 2: the
     # event.  At one instant probes come first: a frame includes its start.
-    rows = base.select("_k", "_id", "_ts", F.inline(F.array(*[
+    rows = base.select("_k", "_id", "_ts", "_u", F.inline(F.array(*[
         F.struct(F.lit(side).alias("_side"), at.alias("_at"), n.cast("long").alias("_one"), c.alias("_c"))
         for side, at, n, c in (
             (0, F.col("_us") - short_h * HOUR_US, F.lit(0), F.lit(0).cast("long")),
             (1, F.col("_us") - long_h * HOUR_US, F.lit(0), F.lit(0).cast("long")),
             (2, F.col("_us"), F.lit(1), F.col("_cents")))])))
     rows = rows.withColumn("_probe", (F.col("_side") == 2).cast("int"))
-    run = keyed_prefix(rows, ["_k"], ["_at", "_probe", "_id", "_side"], ["_one", "_c"], rn_col="_rn")
+    run = keyed_prefix(rows, ["_k"], ["_at", "_probe", "_id", "_u", "_side"], ["_one", "_c"], rn_col="_rn")
     at = lambda side, c: F.max(F.when(F.col("_side") == side, F.col("running_" + c)))
-    w = run.groupBy("_k", "_ts", "_id").agg(
+    w = run.groupBy("_k", "_ts", "_id", "_u").agg(
         at(2, "_one").alias("_n"), at(2, "_c").alias("_s"),
         at(0, "_one").alias("_n0"), at(0, "_c").alias("_s0"),
         at(1, "_one").alias("_n1"), at(1, "_c").alias("_s1"))

@@ -46,3 +46,18 @@ def test_log_read_of_zero_rows(spark):
     v = velocity_features(transactions(spark, SF_SMALL))
     assert st.stream_log_latest(st.stream_log(v), 0).count() == 0
     assert st.stream_log_latest(st.stream_log(v), 5).count() == 5
+
+
+def test_an_event_delivered_twice_is_two_events(spark):
+    import datetime as dt
+
+    from riskwave.operators.velocity import velocity_features
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(1, 7, at(1), 1.0), (2, 7, at(5), 2.0), (2, 7, at(5), 2.0), (3, 7, at(6), 4.0), (3, 8, at(6), 4.0)]
+    df = spark.createDataFrame(rows, "transaction_id long, user_id long, transaction_time timestamp_ntz, amount double")
+    for cap in (None, 2):
+        got = sorted((r.user_id, r.transaction_id, r.txn_count_1h, r.txn_count_24h, float(r.amount_sum_1h))
+                     for r in velocity_features(df, cap=cap).collect())
+        assert got == [(7, 1, 1, 1, 1.0), (7, 2, 1, 2, 2.0), (7, 2, 2, 3 if cap is None else 2, 4.0),
+                       (7, 3, 3 if cap is None else 2, 4 if cap is None else 2, 8.0 if cap is None else 6.0), (8, 3, 1, 1, 4.0)]
+
