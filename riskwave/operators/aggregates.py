@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskwave.operators.scores import exact_ratio
-from riskwave.plans.prefix import keyed_prefix
 from riskwave.plans.selection import order_statistics
 
 MONEY = T.DecimalType(18, 2)
