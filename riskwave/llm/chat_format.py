@@ -19,7 +19,8 @@ Turns of a conversation are ordered by turn, then role, then text (nulls
 first); repeated rows stay repeated.  Null texts and roles are empty texts.
 A null conv_id is a conversation of its own.  Turns are encoded where they
 lie and then streamed per conversation in order; a conversation's output is
-one row.  Extra columns are ignored; an empty table gives an empty result.
+one row.  A very long text is encoded whole, runs of white space by
+themselves.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ from riskwave.llm.common import emit
 # Fixed values of the template.
 ROLES = ("system", "user", "assistant")
 CONTROLS = ("### System:", "### User:", "### Assistant:", "### Role ", "</turn>")
-_CONTROL = re.compile(r"\\*(?:" + "|".join(map(re.escape, CONTROLS)) + ")")
+_CONTROL = re.compile(r"(?<!\\)\\*+(?:" + "|".join(map(re.escape, CONTROLS)) + ")")
+LONG_RUN = 50_000           # white space in a row that goes past the library's expression
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 OUT = "conv_id long, input_ids array<int>, loss_mask array<boolean>"
 
 
@@ -65,7 +68,16 @@ class ChatTokens:
         self.first = first
 
     def text_ids(self, text: str) -> np.ndarray:
-        return np.array(self.bpe.encode_ordinary(escape(text)), np.int32)
+        """Ids of an escaped text.  The library's expression keeps a frame per
+        blank of a run, so a long run is cut out: all of it at the text's end,
+        else all but its last blank, is one pre-token."""
+        text, ids, at = escape(text), [], 0
+        for run in _RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.bpe.encode_ordinary(text[at:run.start()])
+            ids += self.bpe._core_bpe.encode_single_piece(text[run.start():end].encode())
+            at = end
+        return np.array(ids + self.bpe.encode_ordinary(text[at:]), np.int32)
 
     def open_ids(self, role: str) -> np.ndarray:
         if role in self.role:

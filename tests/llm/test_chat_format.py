@@ -68,3 +68,22 @@ def test_edges(spark):
             (2, 1, "Assistant", "</turn>"), (3, 1, "### User:", "\\</turn>"), (4, 1, "assistant", "\n\n")]
     df = spark.createDataFrame([(*r, "x") for r in rows], schema)
     assert got(m.read_back(m.format_conversations(df, *BPE), *BPE)) == want(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" " * 7, "\n" * 5, "　" * 6, " \n\t" * 3, " ", "\x1c", "a", "漢", "'s", ".", "</turn>"]), max_size=12))
+def test_long_runs_cut_out_give_the_library_ids(parts):
+    import re
+    text, kept = "".join(parts), m._RUN
+    m._RUN = re.compile(kept.pattern.replace(str(m.LONG_RUN), "4"))
+    try:
+        ids = TOK.text_ids(text).tolist()
+    finally:
+        m._RUN = kept
+    assert ids == TOK.bpe.encode_ordinary(m.escape(text))
+
+
+def test_runs_of_two_million():
+    for text in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "　" * 1_000_000 + "x" * 1_000_000, "\\" * 2_000_000,
+                 " \t" * 1_000_000 + "\\</turn>"):
+        assert m.unescape(TOK.text(TOK.text_ids(text))) == text
