@@ -206,6 +206,7 @@ SELECT user_id, transaction_id, event_time, {', '.join(STATE_COLS)} FROM latest"
 register("state_lookup", _q(TX, VEL, LATEST_STATE, body=f"""
 SELECT t.*, l.event_time AS state_time, {', '.join(zero(c, 'l.' + c) for c in STATE_COLS)}
 FROM transactions t LEFT JOIN latest l USING (user_id)"""))
+register("state_table_lookup", ORACLES["state_lookup"])
 _fresh = ("s.event_time IS NOT NULL AND epoch_us(t.transaction_time) - epoch_us(s.event_time) "
           "<= 86400000000")
 register("asof_state_lookup", _q(TX, VEL, body=f"""

@@ -87,6 +87,16 @@ def q_state_lookup(spark, d):
     return st.state_lookup(t, st.latest_user_state(_velocity(spark, d, t), now=st.newest_time(t)))
 
 
+@query("state_table_lookup")
+def q_state_table_lookup(spark, d):
+    """The same lookup against a kept table, to which the states came in
+    arrival slices; the lookup itself computes no velocity."""
+    t = src.transactions_core(spark, d)
+    arrival = src.arrival_slice(F.col("event_time"), F.col("transaction_id"))
+    kept = sjobs.keep_state(_velocity(spark, d, t).withColumn("arrival_slice", arrival), "arrival_slice")
+    return st.state_lookup(src.transactions(spark, d), kept.read())
+
+
 @query("asof_state_lookup")
 def q_asof(spark, d):
     t = src.transactions_core(spark, d)

@@ -162,12 +162,17 @@ LATE_DELAY = dt.timedelta(hours=2)
 ARRIVAL_SLICE_S = 3 * 86_400
 
 
+def arrival_slice(time, tid):
+    """Number of the three-day slice in which a row arrives: up to six hours
+    after its time."""
+    arrival = F.unix_seconds(time.cast("timestamp")) + (tid * 7919) % 21_600
+    return F.floor(arrival / ARRIVAL_SLICE_S)
+
+
 def transactions_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Core transactions as they arrive: up to six hours after their time,
-    collected in slices of three days (``arrival_slice``)."""
+    """Core transactions as they arrive, collected in slices (``arrival_slice``)."""
     t = transactions_core(spark, sf_dir)
-    arrival = F.unix_seconds(F.col("transaction_time").cast("timestamp")) + (F.col("transaction_id") * 7919) % 21_600
-    return t.withColumn("arrival_slice", F.floor(arrival / ARRIVAL_SLICE_S))
+    return t.withColumn("arrival_slice", arrival_slice(F.col("transaction_time"), F.col("transaction_id")))
 
 
 def transactions_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,14 +25,3 @@ def resolve(spark: SparkSession, path: str, keys: list[str], order: list[str] |
     rank = F.struct(F.col("_batch"), *[F.col(c) for c in (order or [])])
     return (log.groupBy(*keys).agg(F.max_by(F.struct(*cols), rank).alias("_r"))
                .select(*keys, *[F.col("_r." + c).alias(c) for c in cols]))
-
-
-def latest_state_writer(path: str):
-    """Latest state per user from a velocity stream: newest row per user
-    inside the batch, appended to the change log."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        newest = F.max_by(F.struct(*[c for c in batch.columns if c != "user_id"]),
-                          F.struct("event_time", "transaction_id"))
-        b = batch.groupBy("user_id").agg(newest.alias("s")).select("user_id", "s.*")
-        b.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(path)
-    return write
