@@ -18,14 +18,20 @@ any base span in the sample nothing is added.
 
 Null and empty texts have no spans.  Equal rows get equal results; a null
 id is an id like any other; extra columns are ignored; an empty table gives
-an empty result.  Offsets are code points, ends exclusive.
+an empty result.  Offsets are code points, ends exclusive.  A very long text,
+or one island of any length, is read candidate by candidate: only the last
+positions of the dynamic programming are kept, with ten bytes of back pointers
+for each atom of a stretch in which candidates touch one another.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -104,19 +110,24 @@ def base_matches(text: str):
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 
 
+_BETWEEN = " ().-"        # what may stand between the digits of one number
+
+
 def islands(text: str) -> list[tuple[int, int]]:
-    """Stretches of space-separated words that hold a digit or ``@``; a word
-    of digits' punctuation between two of them belongs to the stretch."""
+    """Stretches of words that hold a digit or ``@``, one white-space character
+    apart, or as many characters of a number's punctuation as a candidate may
+    hold (``+49 30 - 1234567``)."""
     out: list[list[int]] = []
     pos = 0
     while (m := _MARKS.search(text, pos)):
         a = m.start()
-        while a > 0 and not text[a - 1].isspace():
+        while a > pos and not text[a - 1].isspace():
             a -= 1
         b = m.end()
         while b < len(text) and not text[b].isspace():
             b += 1
-        if out and a <= out[-1][1] + 1:
+        gap = a - out[-1][1] if out else 0
+        if out and (gap <= 1 or gap < MAX_ATOMS["phone"] and not text[out[-1][1]:a].strip(_BETWEEN)):
             out[-1][1] = b
         else:
             out.append([a, b])
@@ -124,6 +135,21 @@ def islands(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+class Atoms:
+    """The atoms of text[a:b]: runs of letters or of digits, else characters."""
+
+    def __init__(self, text: str, a: int, b: int):
+        self.text = text
+        self.bounds = array("q", (m.start() for m in _ATOM.finditer(text, a, b)))
+        self.bounds.append(b)
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def __getitem__(self, i: int) -> str:
+        return self.text[self.bounds[i]:self.bounds[i + 1]]
+
+
 @dataclass
 class Segment:
     first: int            # atoms [first, last)
@@ -165,11 +191,13 @@ def span_features(kind: str, span: str, before: str, after: str) -> tuple[str, .
     return tuple(f"{kind}:{x}" for x in f)
 
 
-def candidates(text: str, a: int, b: int) -> tuple[list[int], list[Segment]]:
-    """Atom boundaries of the island text[a:b], and its candidate segments."""
-    atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text, a, b)]
-    bounds = [s for s, _ in atoms] + [b]
-    words = [text[s:e] for s, e in atoms]
+EMAIL_REACH = MAX_ATOMS["email"] // 2     # atoms of an address on either side of its @
+
+
+def candidate_groups(words: Atoms) -> Iterator[tuple[int, list[Segment]]]:
+    """(atom, candidates that this atom gives rise to), by ascending atom: it
+    is the first atom of a number, the ``@`` of an address."""
+    text, bounds = words.text, words.bounds
     out: list[Segment] = []
 
     def add(kind, i, j):
@@ -179,28 +207,37 @@ def candidates(text: str, a: int, b: int) -> tuple[list[int], list[Segment]]:
             return            # a segment must pass its kind's check
         out.append(Segment(i, j, kind, span_features(kind, text[s:e], text[s - 1:s], text[e:e + 1])))
 
-    for i, w in enumerate(words):
-        if w == "@":
-            lows, half = [], MAX_ATOMS["email"] // 2
+    for i in range(len(words)):
+        c = text[bounds[i]]
+        if c == "@":
+            lows = []
             k = i - 1
-            while k >= 0 and i - k <= half and (words[k].isascii() and words[k].isalnum() or words[k] in "._%+-"):
+            while k >= 0 and i - k <= EMAIL_REACH and ((w := words[k]).isascii() and w.isalnum() or w in "._%+-"):
                 lows.append(k)
                 k -= 1
             j, dots = i + 1, 0
-            while j < len(words) and j - i <= half and (words[j].isascii() and words[j].isalnum() or words[j] in ".-"):
-                dots += words[j] == "."
+            while j < len(words) and j - i <= EMAIL_REACH and ((w := words[j]).isascii() and w.isalnum() or w in ".-"):
+                dots += w == "."
                 j += 1
-                if dots and words[j - 1] != ".":
+                if dots and w != ".":
                     for k in lows:
                         add("email", k, j)
-        if w[0] in "0123456789":
+        elif c in "0123456789":
             if i + 7 <= len(words) and all(words[i + k] == "." if k % 2 else words[i + k][0] in "0123456789"
                                            for k in range(7)):
                 add("ip", i, i + 7)
             _numbers("card", words, i, " -", 13, 19, add)
-        if w[0] in "+(0123456789":
-            _numbers("phone", words, i, " ().-", 9, 15, add)
-    return bounds, out
+        if c in "+(0123456789":
+            _numbers("phone", words, i, _BETWEEN, 9, 15, add)
+        if out:
+            yield i, out
+            out = []
+
+
+def candidates(text: str, a: int, b: int) -> tuple[list[int], list[Segment]]:
+    """Atom boundaries of the island text[a:b], and its candidate segments."""
+    words = Atoms(text, a, b)
+    return words.bounds.tolist(), [s for _, group in candidate_groups(words) for s in group]
 
 
 def _numbers(kind, words, i, between, least, most, add):
@@ -238,30 +275,29 @@ class SemiCrf:
     def pair(self, left: str, right: str) -> float:
         return self.weights.get(f"pair:{left}>{right}", 0.0) if OUTSIDE not in (left, right) else 0.0
 
+    def segmentation(self, groups: Iterable[tuple[int, list[Segment]]]) -> Iterator[tuple[int, int, str]]:
+        """The segments (first, last, kind) of the highest-scoring
+        segmentation.  Outside atoms score 0 and have no pair weights, so
+        stretches of candidates that do not touch are independent."""
+        open_ = None
+        for atom, segments in groups:
+            if open_ is not None and atom - EMAIL_REACH > open_.end:
+                yield from open_.trace()
+                open_ = None
+            open_ = open_ or _Stretch(self, atom - EMAIL_REACH)
+            open_.add(atom, segments)
+        if open_ is not None:
+            yield from open_.trace()
+
     def best(self, n: int, segments: list[Segment]) -> list[Segment]:
-        """Highest-scoring segmentation of n atoms (outside atoms score 0)."""
-        ends: dict[int, list[Segment]] = {}
+        """Highest-scoring segmentation of n atoms, as candidates."""
+        of: dict[tuple, Segment] = {}
         for s in segments:
-            ends.setdefault(s.last, []).append(s)
-        table: list[dict[str, tuple[float, Segment | None, str | None]]] = [{OUTSIDE: (0.0, None, None)}]
-        for j in range(1, n + 1):
-            here = {}
-            left = max(table[j - 1].items(), key=lambda kv: kv[1][0])
-            here[OUTSIDE] = (left[1][0], None, left[0])
-            for s in ends.get(j, ()):
-                own = self.score(s)
-                value, prev = max((v[0] + self.pair(k, s.kind), k) for k, v in table[s.first].items())
-                if s.kind not in here or value + own > here[s.kind][0]:
-                    here[s.kind] = (value + own, s, prev)
-            table.append(here)
-        out, j = [], n
-        kind = max(table[n], key=lambda k: table[n][k][0])
-        while j > 0:
-            _, s, prev = table[j][kind]
-            if s is not None:
-                out.append(s)
-            j, kind = (s.first if s is not None else j - 1), prev
-        return out[::-1]
+            key = (s.first, s.last, s.kind)
+            if key not in of or self.score(s) > self.score(of[key]):
+                of[key] = s
+        ordered = sorted(segments, key=lambda s: s.first)
+        return [of[key] for key in self.segmentation((s.first, [s]) for s in ordered)]
 
     def gradient(self, n: int, segments: list[Segment], gold: set[tuple]) -> Counter:
         """Gold minus expected feature counts of one island."""
@@ -317,6 +353,58 @@ class SemiCrf:
         return self
 
 
+_TYPES = (OUTSIDE, *KINDS)
+
+
+class _Stretch:
+    """Dynamic programming over one stretch of touching candidates.  ``recent``
+    holds the last positions' best values by the type that ends there,
+    ``pending`` those of segments that end further on; a position that is done
+    leaves the length of its best segment and the type before it."""
+
+    def __init__(self, crf: SemiCrf, origin: int):
+        self.crf, self.origin, self.at, self.end = crf, origin, origin, origin
+        self.recent: dict[int, dict[str, float]] = {origin: {OUTSIDE: 0.0}}
+        self.pending: dict[int, dict[str, tuple[float, int, str]]] = {}
+        self.lengths, self.before = bytearray(len(_TYPES)), bytearray(len(_TYPES))
+
+    def _advance(self, to: int) -> None:
+        while self.at < to:
+            left = max(self.recent[self.at].items(), key=lambda kv: kv[1])
+            self.at += 1
+            here = {OUTSIDE: left[1]}
+            lengths, before = bytearray(len(_TYPES)), bytearray(len(_TYPES))
+            lengths[0], before[0] = 1, _TYPES.index(left[0])
+            for kind, (value, length, prev) in self.pending.pop(self.at, {}).items():
+                k = _TYPES.index(kind)
+                here[kind], lengths[k], before[k] = value, length, _TYPES.index(prev)
+            self.lengths += lengths
+            self.before += before
+            self.recent[self.at] = here
+            self.recent.pop(self.at - EMAIL_REACH - 1, None)
+
+    def add(self, atom: int, segments: list[Segment]) -> None:
+        self._advance(atom)
+        for s in segments:
+            value, prev = max((v + self.crf.pair(k, s.kind), k) for k, v in self.recent[s.first].items())
+            value += self.crf.score(s)
+            ends = self.pending.setdefault(s.last, {})
+            if s.kind not in ends or value > ends[s.kind][0]:
+                ends[s.kind] = (value, s.last - s.first, prev)
+            self.end = max(self.end, s.last)
+
+    def trace(self) -> list[tuple[int, int, str]]:
+        self._advance(self.end)
+        last = self.recent[self.at]
+        out, j, k = [], self.at, _TYPES.index(max(last, key=last.get))
+        while j > self.origin:
+            cell = (j - self.origin) * len(_TYPES) + k
+            if k:
+                out.append((j - self.lengths[cell], j, _TYPES[k]))
+            j, k = j - self.lengths[cell], self.before[cell]
+        return out[::-1]
+
+
 def _silver(text: str, a: int, b: int, matches) -> list[tuple[str, int, int]] | None:
     """Base spans inside the island as labels, longest first where they
     overlap; None if it is ambiguous: a match reaches out of it, or holds
@@ -382,14 +470,21 @@ def find_spans(text: str, model: SemiCrf | None) -> tuple[list[tuple], list[tupl
     if not text or not _MARKS.search(text):
         return [], []
     base = [(k, a, b) for k, a, b, ok in base_matches(text) if ok]
+    taken: list[list[int]] = []             # what base spans cover, as disjoint stretches
+    for _, a, b in sorted(base, key=lambda m: m[1]):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
     extra = []
     for a, b in islands(text) if model is not None else ():
-        bounds, segments = candidates(text, a, b)
-        if segments:
-            for s in model.best(len(bounds) - 1, segments):
-                x, y = bounds[s.first], bounds[s.last]
-                if all(y <= p or x >= q for _, p, q in base if p < b and q > a):
-                    extra.append((s.kind, x, y))
+        words = Atoms(text, a, b)
+        for first, last, kind in model.segmentation(candidate_groups(words)):
+            x, y = words.bounds[first], words.bounds[last]
+            k = bisect_right(starts, y - 1)           # the last stretch that starts before y
+            if not k or taken[k - 1][1] <= x:
+                extra.append((kind, x, y))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + extra, key=lambda s: (order[s[0]], s[1]))
 

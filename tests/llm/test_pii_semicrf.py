@@ -66,6 +66,39 @@ def test_joint_boundaries_where_the_patterns_run_together(model):
     assert got == {("phone", "+1 (314) 555-6532"), ("card", "4663622617512349")}
 
 
+@pytest.mark.parametrize("text,spans", [
+    ("+49 30 - 1234567 4111 1111 1111 1111", {("phone", "+49 30 - 1234567"), ("card", "4111 1111 1111 1111")}),
+    ("+1 (314)  555-6532 4663622617512349", {("phone", "+1 (314)  555-6532"), ("card", "4663622617512349")}),
+])
+def test_punctuation_between_words_belongs_to_the_island(model, text, spans):
+    assert m.islands(text) == [(0, len(text))]
+    assert m.islands("1 " + " " * 40 + "2") == [(0, 1), (42, 43)]
+    got = {(k, text[a:b]) for k, a, b in m.find_spans(text, model)[1]}
+    if not brute_base(text):
+        assert got == spans
+    else:
+        assert set(brute_base(text)) <= set(m.find_spans(text, model)[1])
+
+
+def test_planted_spans_that_run_together(model):
+    """Precision and recall on telephone numbers followed by card numbers, in
+    several spellings; the patterns miss every telephone number of them."""
+    import random
+    rng, planted, found, right = random.Random(3), 0, 0, 0
+    for _ in range(400):
+        card = [rng.randint(0, 9) for _ in range(15)]
+        card.append(next(d for d in range(10) if m.luhn("".join(map(str, card)) + str(d))))
+        card = "".join(map(str, card))
+        phone = f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        text = f"ring {phone}{rng.choice([' ', '  ', ' - '])}{card} now"
+        assert not any(k == "phone" for k, _, _ in brute_base(text))
+        want = {("phone", phone), ("card", card)}
+        got = {(k, text[a:b]) for k, a, b in m.find_spans(text, model)[1]}
+        planted, found, right = planted + len(want), found + len(got), right + len(want & got)
+    print("recall", right / planted, "precision", right / max(1, found))
+    assert right >= 0.9 * planted and right >= 0.9 * found
+
+
 def test_clean_numbers_are_left_alone(model):
     for text in ("Version 2.0 of 2024-09-01 12:30:00, page 17.", "token = \"0641917ea4e9feb9cda83477b57ac26\"",
                  "order 4663622617512340 was late", "a @ b, 3.14159265"):
@@ -101,6 +134,41 @@ def test_best_segmentation_equals_enumeration():
         assert g[f] == pytest.approx((loglik(up) - loglik(down)) / 2e-5, abs=1e-6)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a.b@c.de", "1.2.3.4", "4713332104704538", "+1 (988) 555-2485", " ", "  ", "x", "é", ".",
+                                 "@", "-", "5", "4111 1111 1111 1111"]), max_size=7).map("".join), st.randoms())
+def test_streamed_segmentation_equals_a_whole_table(text, rnd):
+    """The stretches' result has the value of the best path over all atoms."""
+    for a, b in m.islands(text):
+        words = m.Atoms(text, a, b)
+        segments = m.candidates(text, a, b)[1]
+        crf = m.SemiCrf({f: rnd.uniform(-1, 1) for s in segments for f in s.features}
+                        | {f"pair:{x}>{y}": rnd.uniform(-2, 2) for x in m.KINDS for y in m.KINDS})
+        table = [{m.OUTSIDE: 0.0}]
+        for j in range(1, len(words) + 1):
+            here = {m.OUTSIDE: max(table[-1].values())}
+            for s in segments:
+                if s.last == j:
+                    v = crf.score(s) + max(v + crf.pair(k, s.kind) for k, v in table[s.first].items())
+                    here[s.kind] = max(v, here.get(s.kind, v))
+            table.append(here)
+        of = {(s.first, s.last, s.kind): s for s in segments}
+        got = [of[x] for x in crf.segmentation(m.candidate_groups(words))]
+        assert all(x.last <= y.first for x, y in zip(got, got[1:]))
+        value = sum(map(crf.score, got)) + sum(crf.pair(x.kind, y.kind) for x, y in zip(got, got[1:]) if x.last == y.first)
+        assert value == pytest.approx(max(table[-1].values()))
+
+
+def test_a_very_long_island_is_read_in_bounded_memory(model):
+    import tracemalloc
+    for text, least in (("a1" * 300_000, 0), ("1-" * 6_000 + " x" + "1 " * 3_000, 0)):
+        tracemalloc.start()
+        spans = m.find_spans(text, model)[1]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(spans) >= least and peak < 24 * len(text) + 4_000_000
+
+
 def test_edges(spark, model):
     assert m.train(empty_docs(spark)) is None
     assert m.digest(m.tag_documents(empty_docs(spark), None)).count() == 0
