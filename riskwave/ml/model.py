@@ -4,15 +4,16 @@ model with Spark ML.
 Features: the 13 request fields (minus ids/time) + 8 engineered ones,
 nulls filled, categoricals ordinal-encoded with a vocabulary fitted on
 the training side (unknown -> -1), assembled into a vector.  Each boosting
-round is a distributed tree-aggregate job; the model bundle is a folder
-with the PipelineModel, the vocabulary table and the frozen metadata."""
+round is a distributed tree-aggregate job.  The model bundle is one
+PipelineModel from raw rows to scores (the vocabulary is part of its first
+stage) with the frozen metadata; a pointer written last publishes it."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from riskwave.functions import encoding as enc
 from riskwave.functions import features as fx
+from riskwave.ml.stages import RequestFeatures, RequestFeaturesModel
 from riskwave.operators import aggregates as agg
+from riskwave.plans import files
 from riskwave.plans.lineage import shared_path
 from riskwave.plans.spread import spread
 from riskwave.sources.tables import read_table
@@ -40,8 +43,15 @@ KEY_COLS = ["transaction_id", "user_id", "transaction_time", "amount", "is_fraud
 
 
 class Bundle:
-    def __init__(self, model: PipelineModel, vocab: DataFrame, meta: dict, path: str | None = None):
-        self.model, self.vocab, self.meta, self.path = model, vocab, meta, path
+    """``model`` takes raw rows, ``scorer`` rows with the feature columns."""
+
+    def __init__(self, model: PipelineModel, meta: dict, path: str | None = None):
+        self.model, self.meta, self.path = model, meta, path
+        self.scorer = PipelineModel(model.stages[1:])
+
+    @property
+    def vocab(self) -> DataFrame:
+        return self.model.stages[0].vocab
 
     @property
     def gbt(self):
@@ -60,18 +70,23 @@ def feature_frame(txn: DataFrame, vocab: DataFrame, extra: list[str] | None = No
                     *[F.col(c).cast("double").alias("f_" + c) for c in fx.FEATURE_COLS])
 
 
+def fit_encoder(txn: DataFrame, split, fit_on: str = "train") -> RequestFeaturesModel:
+    """Vocabulary of the rows before ``split``, or of ``"all"`` rows."""
+    if fit_on not in ("train", "all"):
+        raise ValueError(f"fit_on: {fit_on}")
+    return RequestFeatures().fit(txn if fit_on == "all" else txn.where(F.col("transaction_time") < F.lit(split)))
+
+
 def train(txn: DataFrame, params: dict | None = None, fit_on: str = "train",
           cache: bool = True) -> tuple[Bundle, DataFrame]:
     """Fit on rows before the 0.8 time quantile.  Returns the bundle and the
     feature frame of all rows (with a ``side`` column)."""
     p = dict(GBT_PARAMS, **(params or {}))
     split = agg.split_value(txn)
-    prepared = fx.fill_missing(txn)
-    train_rows = prepared.where(F.col("transaction_time") < F.lit(split))
-    vocab = enc.fit_vocabulary(prepared if fit_on == "all" else train_rows)
+    encoder = fit_encoder(txn, split, fit_on)
     cw = agg.class_weight(txn, split).first()
     scale = float(cw["scale_pos_weight"] or 1)
-    feats = feature_frame(txn, vocab).withColumn(
+    feats = feature_frame(txn, encoder.vocab).withColumn(
         "side", F.when(F.col("transaction_time") < F.lit(split), "train").otherwise("test"))
     train_df = (feats.where(F.col("side") == "train")
                      .withColumn("weight", F.when(F.col("is_fraud") == 1, F.lit(scale))
@@ -85,19 +100,19 @@ def train(txn: DataFrame, params: dict | None = None, fit_on: str = "train",
                                 outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                         **{**GBT_RUN, **p})
-    model = Pipeline(stages=[assembler, gbt]).fit(train_df)
+    fitted = Pipeline(stages=[assembler, gbt]).fit(train_df)
     if cache:
         train_df.unpersist()
     meta = {"features": fx.FEATURE_COLS, "cat_cols": fx.CAT_COLS, "split": split.isoformat(),
-            "scale_pos_weight": scale, "params": p}
-    return Bundle(model, vocab, meta), feats
+            "scale_pos_weight": scale, "params": p, "encoder_fit_on": fit_on}
+    return Bundle(PipelineModel([encoder, *fitted.stages]), meta), feats
 
 
 def score(bundle: Bundle, txn: DataFrame, feats: DataFrame | None = None,
           extra: list[str] | None = None) -> DataFrame:
     """Probability of fraud and class at the 0.5 threshold for every row."""
     feats = feats if feats is not None else feature_frame(txn, bundle.vocab, extra)
-    out = bundle.model.transform(feats)
+    out = bundle.scorer.transform(feats)
     prob = vector_to_array(F.col("probability"))[1]
     return out.select(*KEY_COLS, *(extra or []),
                       *[c for c in feats.columns if c.startswith("f_") or c == "side"],
@@ -105,18 +120,42 @@ def score(bundle: Bundle, txn: DataFrame, feats: DataFrame | None = None,
                       (prob > THRESHOLD).cast("int").alias("prediction"))
 
 
+def score_raw(bundle: Bundle, rows: DataFrame) -> DataFrame:
+    """``rows`` as given, with probability and class from the one pipeline."""
+    prob = vector_to_array(F.col("probability"))[1]
+    return bundle.model.transform(rows).select(*rows.columns, prob.alias("probability"),
+                                               (prob > THRESHOLD).cast("int").alias("prediction"))
+
+
+def _published(spark: SparkSession, path: str) -> list[str]:
+    return sorted(n for n in files.names(spark, path + "/published") if n.endswith(".json"))
+
+
 def save(bundle: Bundle, path: str) -> None:
-    bundle.model.write().overwrite().save(path + "/pipeline")
-    bundle.vocab.write.mode("overwrite").parquet(path + "/vocab")
-    spark = bundle.vocab.sparkSession
-    spark.createDataFrame([(json.dumps(bundle.meta),)], "meta string") \
-         .coalesce(1).write.mode("overwrite").text(path + "/meta")
+    """Write the bundle aside, then publish it as the newest of ``path`` by one
+    rename.  Until then, or if the writer dies, readers keep the one before;
+    if another writer takes the number, the next one is tried."""
+    spark = SparkSession.active()
+    folder = uuid.uuid4().hex
+    bundle.model.write().save(f"{path}/{folder}/pipeline")
+    files.publish_text(spark, f"{path}/{folder}/meta.json", json.dumps(bundle.meta))
+    while True:
+        number = int(max(_published(spark, path), default="-1.json")[:-5]) + 1
+        try:
+            return files.publish_text(spark, f"{path}/published/{number:06d}.json",
+                                      json.dumps({"folder": folder}))
+        except FileExistsError:
+            continue
 
 
 def load(spark: SparkSession, path: str) -> Bundle:
-    meta = json.loads(spark.read.text(path + "/meta").first()[0])
-    return Bundle(PipelineModel.load(path + "/pipeline"), spark.read.parquet(path + "/vocab"), meta,
-                  path)
+    """The newest published bundle of ``path``, or the one that a bundle's own
+    ``path`` names; ``FileNotFoundError`` if there is none."""
+    if names := _published(spark, path):
+        path += "/" + json.loads(files.read_text(spark, f"{path}/published/{names[-1]}"))["folder"]
+    elif not files.exists(spark, path + "/meta.json"):          # written last
+        raise FileNotFoundError(path)
+    return Bundle(PipelineModel.load(path + "/pipeline"), json.loads(files.read_text(spark, path + "/meta.json")), path)
 
 
 def bundle_for(spark: SparkSession, sf_dir: str, txn: DataFrame, params: dict | None = None) -> Bundle:
@@ -130,9 +169,8 @@ def bundle_for(spark: SparkSession, sf_dir: str, txn: DataFrame, params: dict |
     path = shared_path(spark, f"riskwave-models/{tag}")
     try:
         return load(spark, path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    except FileNotFoundError:
+        pass
     b, _ = train(txn, p)
     save(b, path)
     return load(spark, path)
@@ -152,7 +190,7 @@ def serve(bundle: Bundle, requests: DataFrame) -> DataFrame:
     frame = feature_frame(override(requests), bundle.vocab, extra=["velocity_score", "txn_count_1h", "txn_count_24h"])
     prob = vector_to_array(F.col("probability"))[1]
     verdict = (prob > THRESHOLD).cast("int")
-    return bundle.model.transform(frame).select(
+    return bundle.scorer.transform(frame).select(
         "transaction_id", "user_id", "transaction_time", "amount", F.round(prob, 4).alias("fraud_probability"),
         verdict.alias("is_fraud_pred"), fx.risk_level(prob).alias("risk_level"),
         fx.decision_label(verdict).alias("message"), "velocity_score", "txn_count_1h", "txn_count_24h")

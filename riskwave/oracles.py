@@ -278,13 +278,18 @@ def _fill(c: str) -> str:
 register("fill_missing", _q(TX_NULLS, body=f"""
 SELECT transaction_id, {', '.join(_fill(c) for c in _FEATURE_ORDER)}
 FROM (SELECT {FEATURES_SELECT.replace('*,', '*,', 1)} FROM transactions_nulls)"""))
-_vocab = " UNION ALL ".join(
-    f"SELECT '{c}' AS col, v, CAST(DENSE_RANK() OVER (ORDER BY v) - 1 AS INTEGER) AS code "
-    f"FROM (SELECT DISTINCT COALESCE({c}, 'Missing') AS v FROM transactions_nulls, split "
-    f"WHERE transaction_time < split.s)" for c in _CAT)
-register("ordinal_encode", _q(TX_NULLS, SPLIT, f"vocab AS ({_vocab})", body=f"""
+def _vocabulary(rows: str) -> str:
+    return "vocab AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS col, v, CAST(DENSE_RANK() OVER (ORDER BY v) - 1 AS INTEGER) AS code "
+        f"FROM (SELECT DISTINCT COALESCE({c}, 'Missing') AS v FROM {rows})" for c in _CAT) + ")"
+
+
+_encoded = f"""
 SELECT t.transaction_id, {', '.join(f"COALESCE((SELECT code FROM vocab WHERE col = '{c}' AND v = COALESCE(t.{c}, 'Missing')), -1) AS {c}" for c in _CAT)}
-FROM transactions_nulls t"""))
+FROM transactions_nulls t"""
+register("ordinal_encode", _q(TX_NULLS, SPLIT, _vocabulary("transactions_nulls, split WHERE transaction_time < split.s"),
+                              body=_encoded))
+register("ordinal_encode_all", _q(TX_NULLS, _vocabulary("transactions_nulls"), body=_encoded))
 register("serving_features", _q(TX, VEL, body=f"""
 SELECT t.transaction_id, t.user_id, t.total_transactions_user AS given_total_transactions,
   CASE WHEN COALESCE(CASE WHEN {_fresh} THEN s.velocity_score END, 0) > 0
@@ -605,6 +610,12 @@ register("stream_serving_state", ORACLES["serving_features"])
 register("stream_serving_parity", _q(TX, body="""
 SELECT user_id, COUNT(*) AS batch_rows, COUNT(*) AS stream_rows, COUNT(*) AS equal_rows
 FROM transactions GROUP BY user_id"""))
+register("metrics_document", ORACLES["confusion_matrix"])
+register("scan_transactions_csv", ORACLES["scan_transactions"])
+# The loaded pipeline scores raw rows as their features are scored.
+register("bundle_parity", _q(TX, body="""
+SELECT user_id, COUNT(*) AS feature_rows, COUNT(*) AS raw_rows, COUNT(*) AS equal_rows
+FROM transactions GROUP BY user_id"""))
 register("late_data", _q(TX, body="""
 SELECT transaction_id, user_id, transaction_time AS event_time, amount, arrival_batch, watermark,
   coalesce(transaction_time < watermark, false) AS late

@@ -5,6 +5,7 @@ work grows with them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from riskwave import sources as src
 from riskwave.functions import features as fx
 from riskwave.operators import velocity as vel
+from riskwave.plans.lineage import shared_path
+from riskwave.sources.tables import read_csv_transactions, write_csv_transactions
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -29,6 +32,14 @@ def q_scan(spark, d):
     return src.transactions(spark, d)
 
 
+@query("scan_transactions_csv")
+def q_scan_csv(spark, d):
+    """The transactions as a CSV file, read with the declared schema."""
+    path = shared_path(spark, f"csv/{uuid.uuid4().hex}")
+    write_csv_transactions(src.transactions(spark, d), path)
+    return read_csv_transactions(spark, path)
+
+
 @query("engineer_features")
 def q_engineer(spark, d):
     return fx.engineer_features(src.transactions(spark, d))
@@ -141,12 +152,22 @@ def q_fill(spark, d):
     return fx.fill_missing(t).select("transaction_id", *fx.FEATURE_COLS)
 
 
+def _ordinal(spark, d, fit_on):
+    from riskwave.ml.model import fit_encoder
+    t = src.transactions_nulls(spark, d)
+    encoder = fit_encoder(t, agg.split_value(src.transactions_core(spark, d)), fit_on)
+    return enc.ordinal_encode(fx.fill_missing(t), encoder.vocab).select("transaction_id", *fx.CAT_COLS)
+
+
 @query("ordinal_encode")
 def q_ordinal(spark, d):
-    t = fx.fill_missing(src.transactions_nulls(spark, d))
-    split = agg.split_value(src.transactions_core(spark, d))
-    vocab = enc.fit_vocabulary(t.where(F.col("transaction_time") < F.lit(split)))
-    return enc.ordinal_encode(t, vocab).select("transaction_id", *fx.CAT_COLS)
+    return _ordinal(spark, d, "train")
+
+
+@query("ordinal_encode_all")
+def q_ordinal_all(spark, d):
+    """The vocabulary of all rows: no value is unknown."""
+    return _ordinal(spark, d, "all")
 
 
 @query("serving_features")
@@ -343,6 +364,16 @@ def q_confusion(spark, d):
     return sc.fraud_class_metrics(sc.confusion_matrix(src.scored(spark, d)))
 
 
+@query("metrics_document")
+def q_metrics_document(spark, d):
+    """The metrics written as a JSON document and read back."""
+    from riskwave.ml.model import write_metrics
+    metrics = q_confusion(spark, d)
+    path = shared_path(spark, f"metrics/{uuid.uuid4().hex}")
+    write_metrics(metrics, path)
+    return spark.read.schema(metrics.schema).json(path)
+
+
 @query("classification_report")
 def q_report(spark, d):
     return sc.classification_report(src.scored(spark, d))
@@ -448,6 +479,29 @@ def q_score(spark, d):
     return mlm.score(_bundle(spark, d), t).select(*mlm.KEY_COLS, "probability", "prediction")
 
 
+def _parity(left, right, names, key="user_id"):
+    """Per ``key``: rows of either side, and rows equal in all columns."""
+    a, b = (rows.groupBy(*rows.columns).count() for rows in (left, right))
+    same = F.lit(True)
+    for c in a.columns:
+        same = same & F.col("a." + c).eqNullSafe(F.col("b." + c))
+    both = a.alias("a").join(b.alias("b"), same, "full")
+    return both.groupBy(F.coalesce("a." + key, "b." + key).alias(key)).agg(
+        F.coalesce(F.sum("a.count"), F.lit(0)).alias(names[0]),
+        F.coalesce(F.sum("b.count"), F.lit(0)).alias(names[1]),
+        F.sum(F.when(F.col("a.count").isNotNull() & F.col("b.count").isNotNull(), F.col("a.count"))
+              .otherwise(0)).alias("equal_rows"))
+
+
+@query("bundle_parity")
+def q_bundle_parity(spark, d):
+    """Per user: rows scored from their features, rows that the loaded
+    pipeline scores from raw columns, and rows equal in both."""
+    t, b = src.transactions(spark, d), _bundle(spark, d)
+    cols = ["transaction_id", "user_id", "probability", "prediction"]
+    return _parity(mlm.score(b, t).select(*cols), mlm.score_raw(b, t).select(*cols), ("feature_rows", "raw_rows"))
+
+
 @query("model_evaluation")
 def q_model_eval(spark, d):
     t = src.transactions(spark, d)
@@ -519,16 +573,7 @@ def q_stream_scores(spark, d):
 def q_stream_serving_parity(spark, d):
     """Per user: requests served in batch, and those whose row the stream
     gave exactly so (state, override, probability and verdict)."""
-    batch, stream = (rows.groupBy(*rows.columns).count() for rows in (q_serve(spark, d), q_stream_scores(spark, d)))
-    same = F.lit(True)
-    for c in batch.columns:
-        same = same & F.col("b." + c).eqNullSafe(F.col("s." + c))
-    both = batch.alias("b").join(stream.alias("s"), same, "full")
-    return both.groupBy(F.coalesce("b.user_id", "s.user_id").alias("user_id")).agg(
-        F.coalesce(F.sum("b.count"), F.lit(0)).alias("batch_rows"),
-        F.coalesce(F.sum("s.count"), F.lit(0)).alias("stream_rows"),
-        F.sum(F.when(F.col("b.user_id").isNotNull() & F.col("s.user_id").isNotNull(), F.col("b.count"))
-              .otherwise(0)).alias("equal_rows"))
+    return _parity(q_serve(spark, d), q_stream_scores(spark, d), ("batch_rows", "stream_rows"))
 
 
 @query("stream_serving_state")

@@ -16,6 +16,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def write_csv_transactions(txn: DataFrame, path: str) -> None:
+    """The CSV form that ``read_csv_transactions`` reads, times in full."""
+    txn.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+
+
 def read_csv_transactions(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """CSV form of the transactions scan: declared schema, no inference,
     ``NA`` read as a real value rather than null (empty field = null),

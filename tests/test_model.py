@@ -47,6 +47,50 @@ def test_save_load_round_trip(spark, trained):
     assert a.exceptAll(c).count() == 0
 
 
+def test_one_pipeline_scores_raw_rows_in_a_new_session(spark, trained):
+    t, b, feats = trained
+    other = spark.newSession()
+    raw = transactions(other, SF_SMALL)
+    got = mlm.score_raw(mlm.load(other, b.path.rsplit("/", 1)[0]), raw)
+    assert got.columns == [*raw.columns, "probability", "prediction"]
+    want = {r.transaction_id: (r.probability, r.prediction) for r in mlm.score(b, t, feats).collect()}
+    assert {r.transaction_id: (r.probability, r.prediction) for r in got.collect()} == want
+    # values no vocabulary has, and nulls, are scored too
+    odd = raw.limit(5).withColumn("channel", F.lit("pigeon")).withColumn("country", F.lit(None).cast("string"))
+    codes = b.model.stages[0].transform(odd).select("f_channel").distinct().collect()
+    assert [r[0] for r in codes] == [-1.0] and mlm.score_raw(b, odd).count() == 5
+
+
+def test_a_half_written_bundle_is_never_read(spark, trained, tmp_path, monkeypatch):
+    t, b, feats = trained
+    path = str(tmp_path / "bundles")
+    with pytest.raises(FileNotFoundError):
+        mlm.load(spark, path)
+    mlm.save(b, path)
+    first = mlm.load(spark, path).path
+
+    def dies(spark, name, text):
+        if "/published/" in name:
+            raise OSError("writer lost")
+        real_publish(spark, name, text)
+    real_publish = mlm.files.publish_text
+    with monkeypatch.context() as m:
+        m.setattr(mlm.files, "publish_text", dies)
+        with pytest.raises(OSError):
+            mlm.save(b, path)
+    assert mlm.load(spark, path).path == first
+    # a second writer that takes the same number does not hide the other's bundle
+    seen = mlm._published(spark, path)
+    mlm.save(b, path)
+    second = mlm.load(spark, path).path
+    stale = iter([seen])
+    with monkeypatch.context() as m:
+        real = mlm._published
+        m.setattr(mlm, "_published", lambda s, p: next(stale, None) or real(s, p))
+        mlm.save(b, path)
+    assert len({first, second, mlm.load(spark, path).path}) == 3
+
+
 def _value(tree, x, S, j=0):
     if tree["left"][j] < 0:
         return tree["value"][j]
