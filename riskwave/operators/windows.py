@@ -49,13 +49,14 @@ def progress_checkpoints(txn: DataFrame, every: int = PROGRESS_EVERY) -> DataFra
 def idle_flags(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:
     """``new_run`` = 1 when the user's previous event is more than
     ``gap_h`` older or absent; the previous event is a distributed lag, so
-    a hot user spreads over range partitions."""
+    a hot user spreads over range partitions, whose numbers (``_pid``) let the
+    next pass go on without a shuffle."""
     gap_us = gap_h * 3_600_000_000
     us = F.unix_micros(F.col("transaction_time").cast("timestamp"))
     base = txn.select("user_id", *SEQ, "amount", us.alias("_us"))
-    r = keyed_prefix(base, ["user_id"], SEQ, lags=["_us"], rn_col="_rn")
+    r = keyed_prefix(base, ["user_id"], SEQ, lags=["_us"], rn_col="_rn", keep_pid=True)
     new = F.col("prev__us").isNull() | (F.col("_us") - F.col("prev__us") > gap_us)
-    return r.select("user_id", *SEQ, "amount", new.cast("long").alias("new_run"))
+    return r.select("user_id", *SEQ, "amount", new.cast("long").alias("new_run"), "_pid")
 
 
 def run_ids(txn: DataFrame, gap_h: int = IDLE_GAP_H) -> DataFrame:

@@ -35,17 +35,20 @@ def _ranged(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFra
 
 def keyed_prefix(df: DataFrame, keys: list[str], order: list[str], sums: list[str] = (),
                  rn_col: str = "rn", n_parts: int | None = None,
-                 lags: list[str] = (), resets: list[str] = ()) -> DataFrame:
+                 lags: list[str] = (), resets: list[str] = (), keep_pid: bool = False) -> DataFrame:
     """Add ``rn_col`` (1-based position within the key in ``order``),
     ``running_<c>`` for each integral column ``c`` in ``sums``,
     ``prev_<c>`` (the value on the previous row of the key, null on the
     first) for each column in ``lags`` and ``seg_<c>`` (rows since the
     latest row of the key with flag ``c`` = 1, itself included, or since
     the key's start) for each column in ``resets``.
-    ``order`` must be a total order within a key (end it with an id)."""
+    ``order`` must be a total order within a key (end it with an id).  With
+    ``keep_pid`` the result holds the stored partition number ``_pid``; a later
+    pass over the same keys and order that finds it goes on with that
+    partitioning, without another range shuffle or written table."""
     keys, order = list(keys), list(order)
     n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _ranged(df, keys, order, n)
+    rows = df if "_pid" in df.columns else _ranged(df, keys, order, n)
     inside = Window.partitionBy("_pid", *keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select(
@@ -77,7 +80,8 @@ def keyed_prefix(df: DataFrame, keys: list[str], order: list[str], sums: list[st
     j = local.join(offsets, same, "left")
     shift = F.coalesce(F.col("_o_n"), F.lit(0))
     rn = F.col("_rn") + shift
-    out = [F.col(c) for c in df.columns] + [rn.alias(rn_col)]
+    out = [F.col(c) for c in df.columns if c != "_pid"] + [rn.alias(rn_col)]
+    out += [F.col("_pid")] if keep_pid else []
     out += [(F.col("_sum_" + c) + F.coalesce(F.col("_o_" + c), F.lit(0))).alias("running_" + c) for c in sums]
     out += [F.when(F.col("_rn") == 1, F.col("_q_" + c)).otherwise(F.col("_lag_" + c)).alias("prev_" + c)
             for c in lags]

@@ -66,3 +66,18 @@ def test_segmented_counts(spark, planner, keys, parts):
     pa = a.select(*b.columns).toPandas().sort_values("transaction_id").reset_index(drop=True)
     pb = b.toPandas().sort_values("transaction_id").reset_index(drop=True)
     assert pa.equals(pb)
+
+
+def test_a_second_pass_goes_on_with_the_stored_partitions(spark):
+    """One range-partitioned table serves both passes: the second one adds no
+    exchange of the rows, and its results are those of a new partitioning."""
+    from riskwave.operators import windows as win
+    from riskwave.sources import transactions_core
+    t = transactions_core(spark, SF_SMALL)
+    flags = win.idle_flags(t)
+    first = keyed_prefix(flags, ["user_id"], win.SEQ, ["new_run"], resets=["new_run"])
+    again = keyed_prefix(flags.drop("_pid"), ["user_id"], win.SEQ, ["new_run"], resets=["new_run"], n_parts=3)
+    assert first.columns == again.columns
+    assert first.exceptAll(again).count() == 0 and again.exceptAll(first).count() == 0
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
