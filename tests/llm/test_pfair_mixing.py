@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from riskwave.llm import pfair_mixing as m
@@ -116,3 +118,56 @@ def test_every_source_has_its_own_weight(spark):
     assert got["s199"] == 80 and (got.drop("s199") == 40).all()
     with pytest.raises(ValueError):
         m.mix_sources(docs, {"s1": 1.0})
+
+
+def random_streams(rng):
+    from pyspark.sql import Row
+    sizes = [int(10 ** rng.uniform(0, 4)) for _ in range(rng.integers(1, 12))]
+    return [Row(stream=k, source=f"s{k}", rows=n, weight=float(n ** m.TEMPER if rng.random() < .5 else rng.random() + .01))
+            for k, n in enumerate(sizes, 1)]
+
+
+def test_random_plans_stay_within_a_block_of_the_target_weights():
+    """300 plans, against the unrounded weights, in exact fractions: every
+    source is less than a block off until the first source has ended."""
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        streams = random_streams(rng)
+        plan = m.Plan(streams, m.PERIOD, 8, max_blocks=4000)
+        assert sum(plan.blocks) <= 4000
+        mass = sum(Fraction(r.weight) for r in streams)
+        weights = [Fraction(r.weight) / mass for r in streams]
+        slots, ran = m._edf(plan.parts, plan.whole, plan.blocks)
+        assert list(slots) == list(range(sum(plan.blocks)))
+        done = [0] * len(streams)
+        for t, s in enumerate(ran, 1):
+            if any(d == n for d, n in zip(done, plan.blocks)):
+                break
+            done[s] += 1
+            assert max(abs(d - w * t) for d, w in zip(done, weights)) < 1
+        # rows of the mixture: the unrounded weights, to a row
+        scale = max(Fraction(r.rows) / w for r, w in zip(streams, weights))
+        assert all(abs(n - w * scale) < 1 or n == r.rows for n, w, r in zip(plan.totals, weights, streams))
+
+
+def test_blocks_grow_when_the_mixture_does_and_the_schedule_does_not(spark):
+    from pyspark.sql import Row
+    for scale in (1, 10 ** 3, 10 ** 9):
+        plan = m.Plan([Row(stream=k, source=f"s{k}", rows=n * scale, weight=float(n))
+                       for k, n in enumerate((70, 20, 9, 1), 1)], m.PERIOD, m.BLOCK_ROWS, max_blocks=2000)
+        assert sum(plan.blocks) <= 2000 and plan.totals == [n * scale for n in (70, 20, 9, 1)]
+    docs = spark.createDataFrame([(i, "t", s) for i, s in enumerate("a" * 500 + "b" * 200 + "c" * 70)],
+                                 "doc_id long, text string, source string")
+    rows = m.mix_sources(docs, block_rows=2, max_blocks=40, carry=["doc_id", "source"]).collect()
+    assert {r.row.doc_id for r in rows if r.epoch == 0} == set(range(770))
+    assert len({r.slot for r in rows}) <= 40 and max(Counter((r.slot, r.place) for r in rows).values()) == 1
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+
+
+def test_a_source_read_thousands_of_times(spark):
+    docs = spark.createDataFrame([(i, "t", s) for i, s in enumerate("a" * 900 + "bb")],
+                                 "doc_id long, text string, source string")
+    rows = m.mix_sources(docs, {"a": 1.0, "b": 5.0}, carry=["doc_id"]).select("row.doc_id", "epoch")
+    counts = dict(rows.groupBy("doc_id").count().collect())
+    assert all(counts[i] == 1 for i in range(900)) and counts[900] == counts[901] == 2250
+    assert rows.where("doc_id = 901").distinct().count() == 2250
