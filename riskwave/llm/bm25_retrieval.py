@@ -2,8 +2,9 @@
 
 Rows are (uid, n, packed): a unique row number, the number of tokens and the
 compressed token ids.  Each shard holds an inverted index of its documents
-and all seeds stream past it.  A shard picks ``CANDIDATES`` documents by the
-seed's ``STRONG`` rarest terms and scores these by all terms of the seed.
+and all seeds stream past it.  A shard picks documents by the seed's ``STRONG``
+rarest terms (``CANDIDATES``, fewer beyond four shards, ``FEWEST`` at least:
+never under 1,024 of all shards) and scores these by all terms of the seed.
 Recall at 10 against BM25 over all documents by all terms is measured in the
 tests (at least 0.9).  Every seed meets every shard: the work grows with the
 square of the documents.
@@ -25,6 +26,7 @@ from riskwave.llm.common import emit, materialise
 INDEX_TOKENS = 1 << 23
 STRONG = 32
 CANDIDATES = 256
+FEWEST = 32
 NEIGHBOURS = 64           # kept of all shards
 LEAST = 10                # asked of every shard at least
 K1, B = 1.2, 0.75
@@ -100,7 +102,7 @@ def _questions(dtype: np.dtype, stats):
     return run
 
 
-def _search(dtype: np.dtype, stats, keep: int):
+def _search(dtype: np.dtype, stats, keep: int, candidates: int):
     """Rows sorted by (shard, side): documents (side 0) build the shard's
     index, then its seeds (side 1) are searched in it."""
     schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("score", pa.float32())])
@@ -127,7 +129,8 @@ def _search(dtype: np.dtype, stats, keep: int):
                         continue
                     index = Index(np.concatenate(uids), (unpack(p, dtype) for p in docs), idf, mean_length)
                     docs = []
-                found = [index.search(u, np.frombuffer(q, dtype), keep) for u, q in zip(numbers.tolist(), blobs)]
+                found = [index.search(u, np.frombuffer(q, dtype), keep, candidates=candidates)
+                         for u, q in zip(numbers.tolist(), blobs)]
                 yield emit(schema, {"seed": np.repeat(numbers, [len(c) for c, _ in found]),
                                     "uid": np.concatenate([index.uids[c] for c, _ in found]),
                                     "score": np.concatenate([s for _, s in found]).astype(np.float32)})
@@ -139,6 +142,7 @@ def neighbours(docs: DataFrame, is_seed: Column, dtype: np.dtype, stats, n_token
     """(seed, uid, score, rank): the best neighbours of every seed among ``docs``."""
     shards = max(1, -(-n_tokens // index_tokens))
     keep = max(LEAST, -(-2 * most // shards))
+    candidates = max(FEWEST, min(CANDIDATES, -(-4 * CANDIDATES // shards)))
     seeds = materialise(docs.where(is_seed).select("uid", "packed")
                         .mapInArrow(_questions(dtype, stats), "uid long, terms binary"), "seeds")
     asked = seeds.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
@@ -146,7 +150,7 @@ def neighbours(docs: DataFrame, is_seed: Column, dtype: np.dtype, stats, n_token
                         F.col("packed").alias("blob"))
             .unionAll(asked.select("shard", F.lit(1), "uid", "terms")))
     found = (rows.repartition("shard").sortWithinPartitions("shard", "side")
-             .mapInArrow(_search(dtype, stats, keep), "seed long, uid long, score float"))
+             .mapInArrow(_search(dtype, stats, keep, candidates), "seed long, uid long, score float"))
     best = Window.partitionBy("seed").orderBy(F.desc("score"), F.xxhash64("seed", "uid"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
