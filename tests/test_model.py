@@ -7,6 +7,7 @@ import math
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,21 @@ def test_stream_scoring_equals_batch(spark, trained, tmp_path):
                       str(tmp_path / "metrics"))
     doc = spark.read.json(str(tmp_path / "metrics")).first()
     assert doc.tn + doc.fp + doc.fn + doc.tp == t.count()
+
+
+def test_batches_share_the_tables_of_a_tree(trained, spark, monkeypatch):
+    t, b, feats = trained
+    trees = mlx.tree_tables(spark, b.path, b.gbt)
+    X = feats.select(*["f_" + c for c in fx.FEATURE_COLS]).toPandas().to_numpy(float)
+    whole, chunked = np.zeros(X.shape), np.zeros(X.shape)
+    mlx.tree_shap(trees[0], X, whole)
+    monkeypatch.setattr(mlx, "CHUNK", 7)
+    mlx.tree_shap(trees[0], X, chunked)
+    assert np.array_equal(whole, chunked)
+    batches = [pd.DataFrame({"a": range(n)}) for n in (3, 0, 2, 4, 1)]
+    assert [len(p) for p in mlx._held(iter(batches), 5)] == [5, 5]
+
+
+def test_boosting_rows_are_spread_over_the_cores(spark):
+    """Half a million training rows are not two tasks."""
+    assert -(-480_000 // mlm.ROWS_PER_TASK) >= 12
