@@ -174,3 +174,43 @@ def test_index_by_brute_force():
         want[seed] = 0
         c, score = index.search(100 + seed, terms, 8, strong=50, candidates=100)
         assert np.allclose(score, np.sort(want)[::-1][:8], rtol=1e-4) and np.allclose(score, want[c], rtol=1e-4)
+
+
+def test_neighbours_that_share_only_frequent_terms_are_found():
+    """A copy without the seed's rarest terms is still its best neighbour by all terms."""
+    from riskwave.llm import bm25_retrieval as r
+    seed, rare = np.arange(100, 400), np.arange(40)
+    docs = [np.concatenate([rare, seed])] + [np.concatenate([rare[i % 40:i % 40 + 1], [400 + i]]) for i in range(600)]
+    docs = [d.astype("<u2") for d in docs + [seed]]
+    idf = np.concatenate([np.full(40, 3.), np.full(360, 1.), np.full(700, 1.)]).astype(np.float32)
+    index = r.Index(np.arange(len(docs)), docs, idf, np.mean([len(d) for d in docs]))
+    c, _ = index.search(0, docs[0], 8)
+    assert c[0] == len(docs) - 1
+
+
+def test_a_shard_that_holds_most_neighbours_is_asked_again(spark):
+    """All neighbours of a seed in one of many shards are kept."""
+    import zstandard
+    from pyspark.sql import functions as F
+
+    from riskwave.llm import bm25_retrieval as r
+    squeeze = zstandard.ZstdCompressor().compress
+    shards = 16
+    ids = spark.range(4000).select("id", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("s")).collect()
+    near = [x.id for x in ids if x.s == 3][:60]
+    docs = {x.id: np.array([5000 + x.id % 40000], "<u2") for x in ids}
+    docs |= {u: np.array([7, 8, *range(10, 10 + n)], "<u2") for n, u in enumerate(near)}
+    rows = [(u, len(d), bytearray(squeeze(d.tobytes()))) for u, d in docs.items()]
+    tokens = spark.createDataFrame(rows, "uid long, n long, packed binary")
+    stats = spark.sparkContext.broadcast((np.ones(50000, np.float32), 1.0))
+    found = r.neighbours(tokens, F.col("uid") == near[0], np.dtype("<u2"), stats, shards * 10, 10).collect()
+    assert {row.uid for row in found} == set(near[1:])
+
+
+def test_small_tables_are_grouped_like_large_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    tokens, n_docs, n_tokens = m.tokenised(docs, PATH)
+    assert n_tokens < m.SHARD_TOKENS
+    stats = m.statistics(tokens, PATH, n_docs, n_tokens)
+    placed, left, _ = m.groups(tokens, n_docs, n_tokens, m.loaded(PATH).dtype, stats)
+    assert placed is not None and placed.count() + left.count() == n_docs
