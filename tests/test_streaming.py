@@ -221,3 +221,66 @@ def test_shuffled_files_in_several_batches_lose_no_row(spark, tmp_path, monkeypa
         .agg(F.count("*").alias("txn_count"))
     got = QUERIES["tumbling_1h"](spark, str(tmp_path))
     assert got.count() > 0 and _same(got.select(*want.columns), want)
+
+
+class _Calls:
+    """State handle that counts its calls; all variables are lists of rows."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, set(), []
+
+    def getListState(self, name, schema):
+        return _Variable(self, name)
+
+    getValueState = getListState
+
+    def listTimers(self):
+        self.calls.append("listTimers")
+        return iter(sorted(self.timers))
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+
+class _Variable:
+    def __init__(self, handle, name):
+        self.h, self.name = handle, name
+
+    def get(self):
+        self.h.calls.append(self.name + ".get")
+        rows = self.h.rows.get(self.name)
+        return (rows if self.name == "last" else iter(rows or []))
+
+    def put(self, rows):
+        self.h.calls.append(self.name + ".put")
+        self.h.rows[self.name] = rows
+
+    update = put
+
+    def clear(self):
+        self.h.calls.append(self.name + ".clear")
+        self.h.rows.pop(self.name, None)
+
+
+def test_a_visit_makes_only_the_state_calls_it_needs():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from riskwave.streaming.velocity import VelocityProcessor
+    hour = 3_600_000_000
+    at = lambda us: SimpleNamespace(getCurrentWatermarkInMs=lambda: us // 1000)     # noqa: E731
+    p, h = VelocityProcessor(), _Calls()
+    p.init(h)
+    rows = pd.DataFrame({"transaction_id": [2, 1, 2], "event_us": [2 * hour, hour, 2 * hour], "cents": [20, 10, 20]})
+    assert list(p.handleInputRows((5,), iter([rows]), at(0))) == []
+    assert h.calls == ["pending.get", "last.get", "pending.put"] and h.timers == {hour // 1000}
+    h.calls.clear()
+    out, = p.handleExpiredTimer((5,), at(2 * hour), None)
+    assert out["transaction_id"].tolist() == [1, 2] and out["n24"].tolist() == [1, 2]
+    assert h.rows == {"seen": [(hour, 1, 10), (2 * hour, 2, 20)], "last": (2 * hour, 2)}
+    assert h.timers == {26 * hour // 1000 + 1}
+    assert list(p.handleExpiredTimer((5,), at(27 * hour), None)) == [] and not h.rows and not h.timers
