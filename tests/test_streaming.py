@@ -284,3 +284,20 @@ def test_a_visit_makes_only_the_state_calls_it_needs():
     assert h.rows == {"seen": [(hour, 1, 10), (2 * hour, 2, 20)], "last": (2 * hour, 2)}
     assert h.timers == {26 * hour // 1000 + 1}
     assert list(p.handleExpiredTimer((5,), at(27 * hour), None)) == [] and not h.rows and not h.timers
+
+
+def test_window_jobs_hold_a_bounded_batch(spark, monkeypatch):
+    """Window jobs take smaller micro-batches than the keyed ones, and the files of both are small."""
+    from pathlib import Path
+
+    from riskwave.queries import QUERIES
+    assert sources.ORDERED_FILE_BYTES <= 16 << 20
+    want = QUERIES["tumbling_1h"](spark, SF_SMALL)
+    bases = []
+    scratch = sources.scratch
+    monkeypatch.setattr(sources, "scratch", lambda s, tag: bases.append(scratch(s, tag)) or bases[-1])
+    monkeypatch.setattr(sources, "WINDOW_BATCH_BYTES", 1)
+    monkeypatch.setattr(sources, "ORDERED_FILE_BYTES", 10_000)
+    assert _same(QUERIES["tumbling_1h"](spark, SF_SMALL), want)
+    base = next(b for b in bases if "/tumbling-" in b).removeprefix("file:")
+    assert len([f for f in Path(base, "checkpoint/offsets").iterdir() if f.name.isdigit()]) > 1
