@@ -46,20 +46,26 @@ MAX_BROADCAST_LEAVES = 2_000_000    # leaf numbers (8 bytes each) sent to every
 
 _SPACE = " \\t-\\r"
 _BLANK = " \\t\\x0B\\f\\r"      # white space other than the line feed
+_BLANK_RUN = f"[\\t\\x0B\\f\\r][{_BLANK}]*| [{_BLANK}]+"     # other than one space
 _DIGIT_TOKEN = f"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     """(_id, _th, pos, line, leaf, h) of every line that has a token; ``line``
     holds its tokens, variable fields masked, with single spaces between; the
-    hashes ``leaf`` and ``h`` name it.  Patterns run once over the whole text."""
+    hashes ``leaf`` and ``h`` name it.  Patterns that write run only where
+    there is something to write: a run of blanks other than one space, a digit."""
     text = F.col(text_col)
-    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _DIGIT_TOKEN, "<*>")).otherwise(text)
-    spaced = F.regexp_replace(masked, f"[{_BLANK}]+", " ")
+    blanks = F.lit(False)
+    for blank in ("  ", "\t", "\x0B", "\f", "\r"):
+        blanks = blanks | F.contains(text, F.lit(blank))
+    spaced = F.when(blanks, F.regexp_replace(text, _BLANK_RUN, " ")).otherwise(text)
     lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"),
-                        F.posexplode(F.transform(F.split(spaced, "\n", -1), lambda x: F.trim(x))).alias("pos", "line"))
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return (lines.where("line <> ''").withColumn("leaf", F.xxhash64(n, F.substring_index("line", " ", depth)))
+                        F.posexplode(F.split(spaced, "\n", -1)).alias("pos", "_raw")).where(F.trim("_raw") != "")
+    masked = F.when(F.col("_raw").rlike("[0-9]"), F.regexp_replace("_raw", _DIGIT_TOKEN, "<*>")).otherwise(F.col("_raw"))
+    lines = lines.select("_id", "_th", "pos", F.trim(masked).alias("line"))
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    return (lines.withColumn("leaf", F.xxhash64(n, F.substring_index("line", " ", depth)))
             .withColumn("h", F.xxhash64("line")))
 
 
@@ -128,14 +134,18 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         F.col(id_col).alias("_k"), F.xxhash64(F.col(text_col)).alias("_h"))
     both = keyed.join(drops, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
     text = F.col("row").getField(text_col)
-    parts = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
+
+    def stay(parts: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
+        return F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
+    # The outer lambda binds the lines: the inner one would split the text for every line.
     kept = F.when(F.col("dropped").isNull(), text).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+        F.get(F.transform(F.array(F.split(text, "\n", -1)), stay), F.lit(0)))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1
     cols = [(kept if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns
             if not (stats and c in ("n_lines", "n_dropped"))]
     if stats:
-        cols += [F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        cols += [F.when(text.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
                  F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped")]
     return both.select(*cols)
 

@@ -88,3 +88,14 @@ def test_edges(spark):
     assert "Python" not in plan and "Arrow" not in plan
     ids = [r for r in out.collect() if r.doc_id == 5]
     assert len({r["text"] for r in ids if r["n_chars"] == 3}) == 1
+
+
+def test_texts_are_split_once_and_masked_by_line(spark):
+    """No split of the text for each of its lines, no pattern over a whole text with a digit."""
+    df = spark.createDataFrame([(1, "a"), (2, "a\tb  c1\x0b \r\n 7 \x0c\n\t \nx1y  z")], "doc_id long, text string")
+    plan = m.drop_recurring_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(" in plan and "lambdafunction(get(split(" not in plan and "lambdafunction(split(" not in plan
+    lines = m._lines(df, "doc_id", "text", m.DEPTH)
+    assert "rlike(text" not in lines._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted((r._id, r.pos, r.line) for r in lines.collect()) == [
+        (1, 0, "a"), (2, 0, "a b <*>"), (2, 1, "<*>"), (2, 3, "<*> z")]
