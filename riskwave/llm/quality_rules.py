@@ -32,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskwave.llm.common import emit, text_runs
+from riskwave.llm.common import emit, give_back, text_runs
 from riskwave.llm.labelled import class_totals, labelled_sample, with_text
 
 BUCKETS = 1 << 15          # hash buckets per n-gram family
 CHAR_GRAMS = (3, 5)
 SAMPLE_PER_CLASS = 3000    # labelled rows of each class the model is fitted on
 SAMPLE_ENTRIES = 40_000_000    # n-gram entries (8 bytes each) of the sample at most; rows beyond are left out
-BLOCK_ENTRIES = 1 << 21    # entries that a step of the fit handles at once
+BLOCK_ENTRIES = 1 << 18    # entries that a step of the fit handles at once
+SAMPLE_CHARS = 1 << 17     # characters of sample texts that are hashed at once, or one text
 PENALTY = 2e-3             # on the squared weights
 MIN_QUALITY = 0.2          # fixed threshold on the calibrated probability
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -188,7 +189,7 @@ class _Rows:
 
 def _features(texts: list[str]):
     """Per text: bucket numbers and scaled relative frequencies."""
-    for _, run in text_runs(texts):
+    for _, run in text_runs(texts, SAMPLE_CHARS):
         fams = hashed_grams(run)
         for i in range(len(run)):
             at, x = [], []
@@ -276,6 +277,19 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
 
 
+def _fitted(fit: _Rows, held: _Rows, total: dict[int, int]) -> dict | None:
+    """Columns of the model; None if either part lacks a class."""
+    fit.close()
+    held.close()
+    if len(set(fit.y)) < 2 or len(set(held.y)) < 2:
+        return None
+    w, bias = _fit(fit, PENALTY)
+    y = np.array(held.y)
+    part = np.where(y > 0, total[1] / (y > 0).sum(), total[0] / (y == 0).sum())
+    slope, shift = _platt(held.margins(w) + bias, y, part * len(y) / part.sum())
+    return {"weights": (w * SCALE).astype("<f4").tobytes(), "bias": bias, "slope": slope, "shift": shift}
+
+
 def _train_rows(total: dict[int, int], max_entries: int):
     """One task: the sample's rows in hash order -> the model, as one row."""
     def run(batches):
@@ -285,16 +299,11 @@ def _train_rows(total: dict[int, int], max_entries: int):
             for (at, x), y, k in zip(_features(batch.column("text").to_pylist()), label, fold):
                 if fit.entries + held.entries + len(at) <= max_entries:
                     (fit if k else held).add(at, x, float(y))
-        fit.close()
-        held.close()
-        if len(set(fit.y)) < 2 or len(set(held.y)) < 2:
-            return
-        w, bias = _fit(fit, PENALTY)
-        y = np.array(held.y)
-        part = np.where(y > 0, total[1] / (y > 0).sum(), total[0] / (y == 0).sum())
-        slope, shift = _platt(held.margins(w) + bias, y, part * len(y) / part.sum())
-        weights = (w * SCALE).astype("<f4").tobytes()
-        yield emit(_MODEL, {"weights": [weights], "bias": [bias], "slope": [slope], "shift": [shift]})
+        model = _fitted(fit, held, total)
+        del fit, held
+        give_back()
+        if model is not None:
+            yield emit(_MODEL, {k: [v] for k, v in model.items()})
     return run
 
 
@@ -339,6 +348,7 @@ def _judge(model):
                     prob[off:off + len(some)] = model.value.probabilities(some)
             probs = pa.array(prob) if model is not None else pa.nulls(len(texts), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + cols + [probs], schema=schema)
+        give_back()
     return run
 
 

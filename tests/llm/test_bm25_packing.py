@@ -214,3 +214,16 @@ def test_small_tables_are_grouped_like_large_ones(spark):
     stats = m.statistics(tokens, PATH, n_docs, n_tokens)
     placed, left, _ = m.groups(tokens, n_docs, n_tokens, m.loaded(PATH).dtype, stats)
     assert placed is not None and placed.count() + left.count() == n_docs
+
+
+def test_workers_keep_no_words_once_the_tokens_are_made():
+    import pyarrow as pa
+    tok = m.loaded(PATH)
+    text = pa.RecordBatch.from_pydict({"uid": [0], "doc_id": [0], "text": ["some words that are kept"]})
+    (tokens,) = m._tokenise(PATH, 2)([text])
+    assert len(tok._ids) and len(tok._ids.pieces)
+    (df,) = m._doc_frequencies(PATH)([tokens])
+    assert df.num_rows == len(set(want_ids("some words that are kept")))
+    assert not len(tok._ids) and not len(tok._ids.pieces)
+    (again,) = m._tokenise(PATH, 2)([text])
+    assert again.equals(tokens)

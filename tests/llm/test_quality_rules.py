@@ -72,3 +72,23 @@ def test_edges(spark):
         if len(t) < 2000:
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(t)
         assert r.quality_prob is None
+
+
+def test_the_fit_holds_little_beside_its_sample():
+    """Scratch arrays of the fit are small whatever the sample's rows and batches."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(7)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(20_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 10_000 + 10_000 * (k % 2), 1500)) for k in range(150)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "label": [k % 2 for k in range(150)],
+                                        "fold": [k % 5 for k in range(150)]})
+    entries = sum(len(at) for at, _ in m._features(texts))
+    tracemalloc.start()
+    (out,) = m._train_rows({0: 75, 1: 75}, m.SAMPLE_ENTRIES)([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 1 and entries > 1_500_000
+    assert peak < 8 * entries + 40e6, (peak, entries)
