@@ -227,3 +227,59 @@ def test_workers_keep_no_words_once_the_tokens_are_made():
     assert not len(tok._ids) and not len(tok._ids.pieces)
     (again,) = m._tokenise(PATH, 2)([text])
     assert again.equals(tokens)
+
+
+def test_leaves_find_nine_of_ten_neighbours_and_ask_few_of_the_pairs(spark):
+    """The search by leaves, which larger tables get, against BM25 over all documents."""
+    from pyspark.sql import functions as F
+
+    from riskwave.llm import bm25_leaves as b
+    from riskwave.llm import bm25_retrieval as r
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    tokens, n_docs, n_tokens = m.tokenised(docs, PATH)
+    dtype, stats = m.loaded(PATH).dtype, m.statistics(tokens, PATH, n_docs, n_tokens)
+    shared, of_docs = b.fit(tokens, n_docs, n_tokens, dtype, stats, leaf_tokens=1 << 18)
+    tokens = tokens.join(of_docs.select("uid", "leaf"), "uid")
+    assert tokens.count() == n_docs and len(shared.value.centres) > 30
+    seeds = [row.uid for row in tokens.orderBy(F.xxhash64("uid")).limit(100).collect()]
+    many = b.probes(tokens, r.questions(tokens, F.pmod("uid", F.lit(7)) == 0, dtype), dtype, stats, shared)
+    assert many < shared.value.parts.sum() / 2
+    found = r.neighbours(tokens, F.col("uid").isin(seeds), dtype, stats, n_tokens, leaves=(shared, many)).collect()
+    got = defaultdict(dict)
+    for row in found:
+        if row["rank"] <= 10:
+            got[row.seed][row.uid] = row.score
+    want = global_top(tokens, seeds, 10)
+    hit = sum(sum(x >= min(best.values()) * (1 - 1e-5) for x in got[s].values()) for s, best in want.items())
+    recall = hit / sum(map(len, want.values()))
+    print("recall at 10 by leaves:", recall, "parts asked:", many, "of", shared.value.parts.sum())
+    assert recall >= 0.9
+
+
+def test_groups_by_leaves_hold_every_document_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionAll(docs.where("doc_id % 3 = 0")).unionAll(docs.limit(1).crossJoin(spark.range(300)).drop("id"))
+    tokens, n_docs, n_tokens = m.tokenised(docs, PATH)
+    stats = m.statistics(tokens, PATH, n_docs, n_tokens)
+    placed, left, rest = m.groups(tokens, n_docs, n_tokens, m.loaded(PATH).dtype, stats, exact_pairs=0,
+                                  leaf_tokens=1 << 16)
+    rows, alone = placed.collect(), left.collect()
+    assert sorted([r.uid for r in rows] + [r.uid for r in alone]) == sorted(r.uid for r in tokens.collect())
+    assert rest == sum(r.n for r in alone) < n_tokens / 4
+
+
+def test_a_large_group_of_copies_is_dealt_to_parts():
+    from riskwave.llm import bm25_leaves as b
+    rng = np.random.default_rng(2)
+    docs = [np.unique(rng.integers(0, 200, 30)) for _ in range(50)] + [np.arange(40)] * 500
+    leaves = b.learn(docs, [np.ones(len(d), np.float32) for d in docs], 200, 8)
+    leaf = leaves.nearest(leaves.project(docs, [np.ones(len(d), np.float32) for d in docs]))
+    assert len(set(leaf[50:].tolist())) == 1
+    leaves.deal(dict(enumerate(np.bincount(leaf, minlength=8) * 40)), 2000)
+    uids = np.arange(550)
+    part = leaves.part(uids, leaf)
+    assert np.bincount(part).max() < 120                     # not all 500 in one
+    order = leaves.order(uids, docs, leaf, 3)
+    assert all(len(o) == len(set(o.tolist())) == 3 for o in order)
+    assert all(leaves.first[k] <= o[0] < leaves.first[k + 1] for o, k in zip(order, leaf))
+    assert all(len(o) == leaves.parts.sum() for o in leaves.order(uids, docs, leaf, 10 ** 6))
