@@ -283,3 +283,16 @@ def test_a_large_group_of_copies_is_dealt_to_parts():
     assert all(len(o) == len(set(o.tolist())) == 3 for o in order)
     assert all(leaves.first[k] <= o[0] < leaves.first[k + 1] for o, k in zip(order, leaf))
     assert all(len(o) == leaves.parts.sum() for o in leaves.order(uids, docs, leaf, 10 ** 6))
+
+
+def test_large_tables_are_searched_whole_and_few_documents_are_left(spark, monkeypatch):
+    """Every seed in every shard, whatever the number of pairs; what no seed took fits one packing shard."""
+    def never(*_):
+        raise AssertionError("asked in leaves only")
+    monkeypatch.setattr(m, "fit", never)
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "concat('word', id % 4000, ' red blue') AS text")
+    tokens, n_docs, n_tokens = m.tokenised(docs, PATH)
+    stats = m.statistics(tokens, PATH, n_docs, n_tokens)
+    placed, left, rest = m.groups(tokens, n_docs, n_tokens, m.loaded(PATH).dtype, stats, window=8, shard_tokens=1 << 12)
+    assert min(0.5, n_tokens / 8 / n_docs) * n_docs ** 2 > 1 << 28
+    assert placed.count() + left.count() == n_docs and rest <= 1 << 12
