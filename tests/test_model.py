@@ -162,3 +162,30 @@ def test_batches_share_the_tables_of_a_tree(trained, spark, monkeypatch):
 def test_boosting_rows_are_spread_over_the_cores(spark):
     """Half a million training rows are not two tasks."""
     assert -(-480_000 // mlm.ROWS_PER_TASK) >= 12
+
+
+def test_leaves_share_tables():
+    """A deep tree: every leaf in one group, far fewer tables than leaves, the contributions of its leaves."""
+    from riskwave.ml import boost
+    rng = np.random.default_rng(5)
+    sizes = [20] * 4 + [2] * 4
+    bins = np.stack([rng.integers(0, s, 3000).astype(np.uint8) for s in sizes], 1)
+    rows = boost.Rows(np.arange(3000), bins, (bins[:, :4].sum(1) + bins[:, 5] * 9) % 7 == 0, sizes, 3.0, 2.0 ** 25)
+    p = dict(seed=1, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxDepth=8, stepSize=0.1)
+    nodes = boost._nodes(0, boost.grow(rows, 0, p), [np.arange(s - 1.) for s in sizes])
+    cols = {n: np.array([np.nan if r[i] is None else r[i] for r in nodes]) for n, i in
+            (("left", 9), ("right", 10), ("feat", 11), ("thr", 12), ("value", 2), ("cover", 4))}
+    t = cols | {n: cols[n].astype(np.int64) for n in ("left", "right", "feat")}
+    paths = mlx.leaf_paths(t)
+    groups = mlx.leaf_groups(t, paths)
+    assert sorted(leaf for _, _, leaves in groups for leaf in leaves) == list(range(len(paths)))
+    assert len(groups) < len(paths) / 2
+    X, got = bins[:200].astype(float), np.zeros((200, len(sizes)))
+    mlx.tree_shap(t, X, got, paths)
+    want = np.zeros_like(got)
+    for (_, feats, _, conds), table in zip(paths, mlx.leaf_tables(t)):
+        for i, x in enumerate(X):
+            code = sum(all((x[t["feat"][n]] <= t["thr"][n]) == left for n, left in cl) << k for k, cl in enumerate(conds))
+            want[i, feats] += table[:, code]
+    assert np.allclose(got, want, atol=1e-12)
+    assert np.allclose(got[:2], [_brute(t, x, len(sizes)) for x in X[:2]], atol=1e-9)
