@@ -189,3 +189,17 @@ def test_leaves_share_tables():
             want[i, feats] += table[:, code]
     assert np.allclose(got, want, atol=1e-12)
     assert np.allclose(got[:2], [_brute(t, x, len(sizes)) for x in X[:2]], atol=1e-9)
+
+
+def test_the_forensic_sort_does_not_explain_rows_twice(spark, trained, monkeypatch):
+    """The rows that the global sort reads (for bounds, then to sort) are stored ones."""
+    from riskwave import queries as q
+    t, b, _ = trained
+    monkeypatch.setattr(q, "_bundle", lambda *_: b)
+    out = q.QUERIES["forensic_table"](spark, SF_SMALL)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" in plan and "InPandas" not in plan
+    rows = out.collect()
+    assert len(rows) == t.count() and all(r.top_contribution in fx.FEATURE_COLS for r in rows)
+    order = [(r.time_text, r.transaction_id) for r in rows]
+    assert order == sorted(order, reverse=True)
